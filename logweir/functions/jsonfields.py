@@ -1,6 +1,7 @@
 """Fields of one JSON log line, probed on a VARIANT that is parsed once per line."""
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,30 +42,66 @@ def is_json(text: Column) -> Column:
     return F.when(shaped, is_single_value(text, wrapped_json(text))).otherwise(False)
 
 
-def parse_object(text: Column) -> Column:
-    """Wrapped VARIANT of a line that is one JSON object, else NULL."""
+def _schema(names: Sequence[str]) -> str:
+    """Struct type with a VARIANT per field; dotted names give nested structs."""
+    inner: dict[str, list[str]] = {}
+    for name in names:
+        head, _, rest = name.partition(".")
+        inner.setdefault(head, []).extend([rest] if rest else [])
+    fields = (f"`{n}`: {_schema(sub) if sub else 'variant'}" for n, sub in inner.items())
+    return f"struct<{', '.join(fields)}>"
+
+
+_NAMES = [
+    *P.JSON_TIMESTAMP, *P.JSON_LEVEL, *P.JSON_MESSAGE, *P.JSON_IP, *P.JSON_METHOD,
+    *P.JSON_PATH, *P.JSON_STATUS, *P.JSON_SIZE, *P.JSON_USER_AGENT, *P.JSON_RESPONSE_TIME,
+]
+_FIELDS = _schema(_NAMES)
+
+
+def known_fields(text: Column, wrapped: Column) -> Column:
+    """All fields a log line is probed for, if the line is one JSON object, else NULL.
+
+    ``wrapped`` is :func:`wrapped_json` of the text, as a column of its own. The fields are
+    taken out in one walk over the object; asking for them by path would search the object
+    once per name.
+    """
     shaped = text.startswith("{") & text.endswith("}")
-    wrapped = wrapped_json(text)
-    return F.when(shaped & is_single_value(text, wrapped), wrapped)
+    return F.when(
+        shaped & is_single_value(text, wrapped), F.try_variant_get(wrapped, "$[0]", _FIELDS)
+    )
 
 
 class JsonLine:
-    """Typed access to the fields of a line parsed by :func:`parse_object`."""
+    """Entry columns of a JSON line, from its :func:`known_fields`.
+
+    A VARIANT is costly to turn into text, so this happens once per field, in columns
+    (:meth:`text_columns`) the caller adds before it uses the properties. Those not needed
+    are pruned.
+    """
 
-    def __init__(self, raw: Column, wrapped: Column):
+    def __init__(self, raw: Column, known: Column):
         self.raw = raw
-        self.wrapped = wrapped
+        self.known = known
+
+    def text_columns(self) -> list[Column]:
+        return [
+            self._value(name).try_cast("string").alias(self._column(name)) for name in _NAMES
+        ]
 
-    def _path(self, name: str) -> str:
-        return "$[0]" + "".join(f'["{part}"]' for part in name.split("."))
+    @staticmethod
+    def _column(name: str) -> str:
+        return f"_json_{_NAMES.index(name)}"
+
+    def _value(self, name: str) -> Column:
+        return reduce(lambda column, part: column[part], name.split("."), self.known)
 
     def text(self, name: str) -> Column:
         """Text of a field; JSON text for objects and arrays; NULL if absent or null."""
-        return F.try_variant_get(self.wrapped, self._path(name), "string")
+        return F.col(self._column(name))
 
     def _is_text(self, name: str) -> Column:
-        value = F.try_variant_get(self.wrapped, self._path(name), "variant")
-        return F.schema_of_variant(value) == "STRING"
+        return F.schema_of_variant(self._value(name)) == "STRING"
 
     def _is_number(self, name: str) -> Column:
         return self.text(name).rlike(_NUMBER) & ~self._is_text(name)
@@ -122,20 +159,32 @@ class JsonLine:
 
     @property
     def timestamp(self) -> Column:
-        """First candidate that is a time at all."""
+        """First candidate that is a time at all.
+
+        Nearly always that is the first one present. Only if it is not, the others are
+        tried, in a lambda that keeps eight copies of the same code out of the stage.
+        """
+        names = P.JSON_TIMESTAMP
 
-        def time(name: str) -> Column:
-            number = self.text(name).try_cast("double")
-            return F.when(self._is_number(name), epoch_time(number)).when(
-                self.text(name).isNotNull(), general_time(self.text(name))
-            )
+        def time(text: Column, is_number: Column) -> Column:
+            number = text.try_cast("double")
+            return F.when(is_number, epoch_time(number)).otherwise(general_time(text))
 
-        return F.coalesce(*[time(name) for name in P.JSON_TIMESTAMP])
+        first_text = F.coalesce(*[self.text(name) for name in names])
+        first_is_number = F.coalesce(*[self._is_number(name) for name in names])
+        candidates = F.array(
+            *[F.struct(self.text(n).alias("text"), self._is_number(n).alias("n")) for n in names]
+        )
+        times = F.transform(candidates, lambda c: time(c["text"], c["n"]))
+        return F.coalesce(
+            time(first_text, first_is_number),
+            F.get(F.filter(times, lambda t: t.isNotNull()), F.lit(0)),
+        )
 
     def _level(self, name: str) -> Column:
-        return F.when(
-            self._is_number(name), numeric_level(self.text(name).try_cast("double"))
-        ).otherwise(normalize_level(strip(F.lower(self.text(name)))))
+        return F.when(self._is_number(name), numeric_level(self.text(name))).otherwise(
+            normalize_level(strip(F.lower(self.text(name))))
+        )
 
     @property
     def level(self) -> Column:

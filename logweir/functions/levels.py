@@ -32,11 +32,10 @@ def normalize_level(level: Column) -> Column:
 
 
 def numeric_level(number: Column) -> Column:
-    """Usual name of a numeric level, or ``level-N``."""
-    whole = number.try_cast("bigint")
-    shown = F.when(number == whole, whole.cast("string")).otherwise(number.cast("string"))
-    named = lookup(NUMERIC_LEVELS, F.when(number == whole, whole).try_cast("int"))
-    return F.coalesce(named, F.concat(F.lit("level-"), shown))
+    """Usual name of a numeric level given as text, or ``level-N``."""
+    shown = F.regexp_replace(number, r"\.0$", "")
+    names = {str(value): name for value, name in NUMERIC_LEVELS.items()}
+    return F.coalesce(lookup(names, number), lookup(names, shown), F.concat(F.lit("level-"), shown))
 
 
 def keyword_level(text: Column) -> Column:

@@ -45,8 +45,11 @@ def general_time(text: Column) -> Column:
     Accepted: ISO 8601 dates and times with ``-`` or ``/`` between date parts, with or
     without zone; and ``[Wdy,] d Mon yyyy HH:mm:ss zone``.
     """
-    iso = F.regexp_replace(text, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
-    iso = F.regexp_replace(iso, _RUN_OF_SPACE, " ").try_cast("timestamp")
+    slashes = F.regexp_replace(text, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
+    iso = F.coalesce(
+        text.try_cast("timestamp"),
+        F.regexp_replace(slashes, _RUN_OF_SPACE, " ").try_cast("timestamp"),
+    )
     mail = F.regexp_replace(text, r"^[A-Za-z]{3,9},?\s+", "")
     mail = F.regexp_replace(mail, r"(?:GMT|UTC|UT|Z)$", "+0000")
     mail = F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z"))

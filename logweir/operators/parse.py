@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweir import patterns as P
-from logweir.functions.jsonfields import JsonLine, parse_object
+from logweir.functions.jsonfields import JsonLine, known_fields, wrapped_json
 from logweir.functions.levels import keyword_level, status_level
 from logweir.functions.numbers import float_prefix, int_prefix
 from logweir.functions.regexes import capture, named_groups, to_java
@@ -111,8 +111,17 @@ def parse_lines(
             tried = F.when(F.get(earlier, F.lit(1)).isNotNull(), earlier).otherwise(tried)
         staged = staged.withColumn(f"_groups{step}", tried)
         groups_column = F.col(f"_groups{step}")
-    json_column = for_format({"json": parse_object(raw)}) if "json" in formats else F.lit(None)
-    captured = F.struct(groups_column.alias("_groups"), json_column.alias("_json"))
+    json_column = F.lit(None)
+    if "json" in formats:
+        staged = staged.withColumn("_wrapped", for_format({"json": wrapped_json(raw)}))
+        json_column = known_fields(raw, F.col("_wrapped"))
+    time_group = F.get(groups_column, F.lit(SLOTS.index("time") + 2))
+    has_access = any(kind in ACCESS for f in formats for kind in cascades[f])
+    captured = F.struct(
+        groups_column.alias("_groups"),
+        json_column.alias("_json"),
+        (access_date_text(time_group) if has_access else F.lit(None)).alias("_date"),
+    )
     staged = staged.select("file", "format", "line_number", "raw", F.inline(F.array(captured)))
 
     group = F.col("_groups")
@@ -125,14 +134,12 @@ def parse_lines(
     if "json" in formats:
         possible.append("json")
         kind = F.when(F.col("_json").isNotNull(), "json").otherwise(kind)
+    json = JsonLine(raw, F.col("_json"))
     staged = staged.withColumn("_kind", kind)
-    if any(k in ACCESS for k in possible):
-        is_access = F.col("_kind").isin(ACCESS)
-        staged = staged.withColumn("_date", F.when(is_access, access_date_text(slot["time"])))
-        offset = access_offset_text(slot["time"]) if honor_offset else None
-        access_at = access_time(F.col("_date"), offset)
-    else:
-        access_at = None
+    if "json" in formats:
+        staged = staged.select("*", *json.text_columns())
+    offset = access_offset_text(slot["time"]) if honor_offset else None
+    access_at = access_time(F.col("_date"), offset)
 
     def by_kind(branches: dict[str, Column]) -> Column:
         wanted = {k: v for k, v in branches.items() if k in possible}
@@ -142,7 +149,6 @@ def parse_lines(
     def text(name: str) -> Column:
         return F.nullif(slot[name], F.lit(""))
 
-    json = JsonLine(raw, F.col("_json"))
     year = F.lit(str(syslog_year)) if syslog_year else F.year(F.current_date()).cast("string")
     request, message = slot["message"], strip(slot["message"])
     size = F.when(slot["size"] == "-", F.lit(0)).otherwise(int_prefix(slot["size"]))
