@@ -77,6 +77,7 @@ def parse_lines(
     of_line = F.col("format") if format == "auto" else F.lit(formats[0])
     if pattern:
         groups = named_groups(pattern)
+        groups["time"] = groups.pop("timestamp", None)
         if not compiles(lines.sparkSession, to_java(pattern)):
             raise ValueError(f"not a valid pattern: {pattern}")
         kinds = KINDS | {"pattern": (pattern, groups)}
@@ -141,8 +142,9 @@ def parse_lines(
     offset = access_offset_text(slot["time"]) if honor_offset else None
     access_at = access_time(F.col("_date"), offset)
 
-    def by_kind(branches: dict[str, Column]) -> Column:
-        wanted = {k: v for k, v in branches.items() if k in possible}
+    def by_kind(branches: dict) -> Column:
+        """Pick by kind; large expressions are functions, built only if their kind can occur."""
+        wanted = {k: v() if callable(v) else v for k, v in branches.items() if k in possible}
         chain = reduce(lambda c, b: c.when(F.col("_kind") == b[0], b[1]), wanted.items(), F)
         return chain.otherwise(None) if wanted else F.lit(None)
 
@@ -161,9 +163,10 @@ def parse_lines(
         "timestamp": by_kind(
             access(access_at)
             | dict.fromkeys(
-                ["nginx-error", "timestamped", "bracketed", "pattern"], general_time(slot["time"])
+                ["nginx-error", "timestamped", "bracketed", "pattern"],
+                lambda: general_time(slot["time"]),
             )
-            | {"syslog": syslog_time(slot["time"], year), "json": json.timestamp}
+            | {"syslog": lambda: syslog_time(slot["time"], year), "json": lambda: json.timestamp}
         ),
         "level": by_kind(
             access(status_level(status))
@@ -172,13 +175,13 @@ def parse_lines(
                 "pattern": F.coalesce(F.lower(text("level")), F.lit("info")),
                 "syslog": keyword_level(slot["message"]),
                 "plain": keyword_level(raw),
-                "json": json.level,
+                "json": lambda: json.level,
             }
         ),
         "message": by_kind(
             access(F.coalesce(text("message"), raw))
             | dict.fromkeys(["nginx-error", "syslog", "timestamped", "bracketed"], message)
-            | {"pattern": F.coalesce(text("message"), raw), "plain": raw, "json": json.message}
+            | {"pattern": F.coalesce(text("message"), raw), "plain": raw, "json": lambda: json.message}
         ),
         "source": by_kind(
             {k: F.lit(k) for k in ["apache", "nginx", "nginx-error", "json", "plain"]}
@@ -186,23 +189,23 @@ def parse_lines(
             | {"syslog": F.concat(F.lit("syslog:"), strip(slot["process"]))}
         ),
         "ip": by_kind(
-            access(F.nullif(slot["ip"], F.lit("-"))) | {"pattern": text("ip"), "json": json.ip}
+            access(F.nullif(slot["ip"], F.lit("-"))) | {"pattern": text("ip"), "json": lambda: json.ip}
         ),
         "method": by_kind(
             access(F.nullif(F.split_part(request, F.lit(" "), F.lit(1)), F.lit("")))
-            | {"pattern": text("method"), "json": json.method}
+            | {"pattern": text("method"), "json": lambda: json.method}
         ),
         "path": by_kind(
             access(F.nullif(F.split_part(request, F.lit(" "), F.lit(2)), F.lit("")))
-            | {"pattern": text("path"), "json": json.path}
+            | {"pattern": text("path"), "json": lambda: json.path}
         ),
         "status": by_kind(
-            access(status) | {"pattern": int_prefix(slot["status"], "int"), "json": json.status}
+            access(status) | {"pattern": int_prefix(slot["status"], "int"), "json": lambda: json.status}
         ),
-        "size": by_kind(access(size) | {"pattern": int_prefix(slot["size"]), "json": json.size}),
-        "user_agent": by_kind(access(text("user_agent")) | {"json": json.user_agent}),
+        "size": by_kind(access(size) | {"pattern": int_prefix(slot["size"]), "json": lambda: json.size}),
+        "user_agent": by_kind(access(text("user_agent")) | {"json": lambda: json.user_agent}),
         "response_time": by_kind(
-            {"nginx": float_prefix(slot["response_time"]), "json": json.response_time}
+            {"nginx": float_prefix(slot["response_time"]), "json": lambda: json.response_time}
         ),
     }
     typed = {name: columns[name].cast(ENTRIES[name].dataType) for name in columns}

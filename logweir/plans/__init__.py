@@ -1,0 +1,13 @@
+"""Whole jobs over log files, from paths to a result DataFrame."""
+
+from logweir.plans.reports import (
+    filter_report,
+    filter_report_summary,
+    load_lines,
+    parse_report,
+    stats_report,
+)
+
+__all__ = [
+    "filter_report", "filter_report_summary", "load_lines", "parse_report", "stats_report",
+]
