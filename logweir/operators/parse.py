@@ -7,7 +7,7 @@ pass: without it, a filter on a parsed column would be pushed down together with
 copy of the pattern.
 """
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -125,20 +125,48 @@ def parse_lines(
     )
     staged = staged.select("file", "format", "line_number", "raw", F.inline(F.array(captured)))
 
+    kind, json_texts, columns = _entry_columns(
+        lines.sparkSession.sparkContext.applicationId,
+        tuple(formats),
+        tuple(kind for f in formats for kind in cascades[f]),
+        honor_offset,
+        syslog_year,
+    )
+    staged = staged.withColumn("_kind", kind)
+    if json_texts:
+        staged = staged.select("*", *json_texts)
+    return staged.select(
+        *[columns[name].alias(name) if name in columns else F.col(name) for name in ENTRY_COLUMNS],
+        F.col("_kind").isNotNull().alias("parsed"),
+    )
+
+
+@lru_cache(maxsize=64)
+def _entry_columns(
+    application: str,
+    formats: tuple[str, ...],
+    kinds: tuple[str, ...],
+    honor_offset: bool,
+    syslog_year: int | None,
+) -> tuple[Column, list[Column], dict[str, Column]]:
+    """Kind of a captured line, texts of its JSON fields, and the columns of its entry.
+
+    They refer to columns by name only, so one application builds them once for all frames:
+    building is some thousand calls into the JVM.
+    """
     group = F.col("_groups")
     slot = {name: F.get(group, F.lit(i + 2)) for i, name in enumerate(SLOTS)}
-    possible = [kind for f in formats for kind in cascades[f]]
+    raw, possible = F.col("raw"), list(kinds)
     kind = F.get(group, F.lit(1))
-    if "custom" in formats and not pattern:
+    if "custom" in formats and "pattern" not in kinds:
         possible.append("plain")
         kind = F.when((F.col("format") == "custom") & kind.isNull(), "plain").otherwise(kind)
     if "json" in formats:
         possible.append("json")
         kind = F.when(F.col("_json").isNotNull(), "json").otherwise(kind)
     json = JsonLine(raw, F.col("_json"))
-    staged = staged.withColumn("_kind", kind)
-    if "json" in formats:
-        staged = staged.select("*", *json.text_columns())
+    json = JsonLine(raw, F.col("_json"))
+    json_texts = json.text_columns() if "json" in formats else []
     offset = access_offset_text(slot["time"]) if honor_offset else None
     access_at = access_time(F.col("_date"), offset)
 
@@ -209,10 +237,7 @@ def parse_lines(
         ),
     }
     typed = {name: columns[name].cast(ENTRIES[name].dataType) for name in columns}
-    return staged.select(
-        *[typed[name].alias(name) if name in typed else F.col(name) for name in ENTRY_COLUMNS],
-        F.col("_kind").isNotNull().alias("parsed"),
-    )
+    return kind, json_texts, typed
 
 
 def entries(parsed: DataFrame) -> DataFrame:

@@ -3,15 +3,17 @@
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logweir.operators.detect import detect_format, with_format
 from logweir.operators.filters import filter_logs, filter_summary
 from logweir.operators.parse import parse_lines, parse_logs
 from logweir.operators.slices import head_lines, tail_lines
 from logweir.operators.stats import stats_document, tally
-from logweir.patterns import DETECTION_LINES, PREVIEW_LINES, TOP_ENTRIES
+from logweir.patterns import DETECTION_LINES, FOLLOW_LINES, PREVIEW_LINES, TOP_ENTRIES
 from logweir.session import cut_lineage
 from logweir.sources import read_heads, read_lines
+from logweir.streaming import follow_lines, tail_view
 
 Paths = str | Sequence[str]
 
@@ -87,3 +89,23 @@ def stats_report(
     ties go by name and the counting scan is saved."""
     parsed = parse_lines(load_lines(spark, paths, format, line_numbers), format, **options)
     return stats_document(cut_lineage(tally(parsed)), top_n)
+
+
+def follow_report(
+    spark: SparkSession,
+    path: str,
+    format: str = "auto",
+    initial_lines: int | str = FOLLOW_LINES,
+    levels: Sequence[str] = (),
+    highlight: str | None = None,
+    **options,
+) -> DataFrame:
+    """Stream of display rows of growing files. With ``auto``, the formats of the files
+    present at the start are told from their heads; files that come later are custom."""
+    lines = follow_lines(spark, path, initial_lines)
+    if format == "auto":
+        formats = detect_format(read_heads(spark, path, DETECTION_LINES))
+        # The stream names files by plain path.
+        plain = F.url_decode(F.replace(F.regexp_replace("file", "^file:(//)?", ""), F.lit("+"), F.lit("%2B")))
+        lines = with_format(lines, formats.withColumn("file", plain))
+    return tail_view(lines, format, levels, highlight, **options)

@@ -311,4 +311,13 @@ ORACLE = {
         || ' HTTP/1.1' AS message FROM base WHERE ok""",
     "parquet_by_day": f"""{EVENTS} SELECT strftime(t, '%Y-%m-%d') AS event_date, count(*) AS count,
         CAST(sum(size) AS BIGINT) AS bytes FROM base WHERE ok AND t >= TIMESTAMP '2024-01-15' GROUP BY 1""",
+    "live_counts_stream": f"""{EVENTS} SELECT date_trunc('hour', t) AS window_start, status_level AS level,
+        (status // 100) || 'xx' AS status_class, count(*) AS count FROM base WHERE ok GROUP BY 1, 2, 3""",
+    "follow_numbered_stream": f"""{FILE_LINES} SELECT log, n AS line_number, NOT ok AS corrupt FROM numbered""",
+    "follow_report_stream": f"""{FILE_LINES} SELECT
+        CASE WHEN ok THEN strftime(t, '%Y-%m-%d %H:%M:%S') END AS timestamp, upper(shown_level) AS level,
+        CAST(shown_status AS DOUBLE) AS status, shown_method AS method,
+        CASE WHEN format = 'custom' THEN words || ' ' || event_id
+          ELSE replace(path, '/click', '<</click>>') END AS detail
+        FROM shown WHERE shown_level IN ('error', 'warn')""",
 }

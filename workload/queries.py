@@ -9,8 +9,9 @@ from logweir.operators.detect import is_apache, is_nginx, is_syslog
 from logweir.functions.jsonfields import is_json
 from logweir.operators.export import has_http
 from logweir.operators.stats import top_of
-from logweir.plans import filter_report, parse_report, stats_report
-from logweir.session import cut_lineage
+from logweir.plans import filter_report, follow_report, parse_report, stats_report
+from logweir.session import cut_lineage, scratch_path
+from logweir.streaming import follow_lines, live_counts, number_batches
 from workload import render as R
 
 SYSLOG_YEAR = 2024
@@ -398,11 +399,75 @@ def highlighted(spark, sf_dir):
 @query
 def parquet_by_day(spark, sf_dir):
     """Entries written as Parquet in day folders, then read back for some days only."""
-    from logweir.session import scratch_path
-
     path = scratch_path(spark, "entries")
     lw.write_parquet(access(spark, sf_dir), path)
     days = spark.read.parquet(path).where(F.col("event_date") >= "2024-01-15")
     return days.groupBy(F.col("event_date").cast("string").alias("event_date")).agg(
         F.count("*").alias("count"), F.sum("size").alias("bytes")
     )
+
+
+# --- streams: run until all input present has been read, then show what was written ------
+
+
+def _drain(writer, name: str) -> None:
+    spark_checkpoint = scratch_path(SparkSession.active(), name)
+    run = writer.option("checkpointLocation", spark_checkpoint).trigger(availableNow=True)
+    run.start().awaitTermination()
+
+
+@query
+def live_counts_stream(spark, sf_dir):
+    """Hourly counts over a stream of lines rendered from the events table."""
+    lw.configure(spark)
+    source = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(source).schema
+    # As a pattern, since the file stream takes folders and patterns but no single file.
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    rows = R.with_fields(rows.withColumn("ts", F.col("ts").cast("timestamp")))
+    lines = lw.lines_from_table(
+        rows.withColumn("line", R.corrupted(R.nginx())), "line", number_col="line_number"
+    )
+    out = scratch_path(spark, "live-counts")
+    counts = live_counts(lw.parse_logs(lines, "nginx"))
+    _drain(
+        counts.writeStream.outputMode("complete").foreachBatch(
+            lambda batch, _: batch.write.mode("overwrite").parquet(out)
+        ),
+        "live-checkpoint",
+    )
+    return show(spark.read.parquet(out))
+
+
+@query
+def follow_numbered_stream(spark, sf_dir):
+    """Text files followed from their start, lines numbered across batches."""
+    path = R.log_files(spark, sf_dir).removeprefix("file:")
+    lines = follow_lines(spark, path, "all", range_bytes=64 << 10)
+    out = scratch_path(spark, "followed")
+
+    def keep(numbered, batch_id):
+        numbered.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    _drain(
+        lines.writeStream.foreachBatch(number_batches(scratch_path(spark, "counts"), keep)),
+        "follow-checkpoint",
+    )
+    return spark.read.parquet(out).select(
+        R.log_of(F.col("file")).alias("log"),
+        "line_number",
+        F.col("value").startswith("corrupt").alias("corrupt"),
+    )
+
+
+@query
+def follow_report_stream(spark, sf_dir):
+    """Display rows of followed files, errors and warnings only, format told per file."""
+    path = R.log_files(spark, sf_dir).removeprefix("file:")
+    rows = follow_report(
+        spark, path, initial_lines="all", levels=["error", "warn"], highlight="/click",
+        syslog_year=SYSLOG_YEAR,
+    )
+    out = scratch_path(spark, "tail-view")
+    _drain(rows.writeStream.format("parquet").option("path", out), "tail-checkpoint")
+    return show(spark.read.parquet(out).drop("line"))
