@@ -11,11 +11,15 @@ def configure(spark: SparkSession) -> SparkSession:
 
     * UTC session zone: zone-less log times mean the same on every host.
     * JSON objects with a repeated key keep the last value.
+    * The JVM does not compile methods above 8000 bytes of code. Where a stage would be fused
+      into such a method (mixed formats), Spark runs its operators one by one instead, whose
+      code it splits.
     * The file split size must not move between the counting scan and the numbering scan
       of one query when executors come and go, so the parallelism that feeds it is pinned.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         spark.conf.set(
             "spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism)

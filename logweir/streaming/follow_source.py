@@ -10,6 +10,7 @@ import glob
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
@@ -17,6 +18,7 @@ from logweir.functions.text import WHITE_SPACE
 from logweir.patterns import FOLLOW_LINES
 
 _BLOCK = 1 << 16
+_READ = 4 << 20
 _SCHEMA = pa.schema(
     [
         ("file", pa.string()),
@@ -106,30 +108,33 @@ class LogFollowReader(DataSourceStreamReader):
         except FileNotFoundError:
             return
         with source:
-            at = partition.start
+            start = partition.start
             if not partition.at_line_start:
-                source.seek(at - 1)
-                at += len(source.readline()) - 1
-            source.seek(at)
-            offsets, values, size = [], [], 0
-            while at < partition.stop:
-                line = source.readline()
-                if not line.endswith(b"\n"):
+                source.seek(start - 1)
+                start += len(source.readline()) - 1
+            source.seek(start)
+            while start < partition.stop:
+                # Up to a few megabytes, and the last line begun in them to its end.
+                data = source.read(min(_READ, partition.stop - start))
+                if not data.endswith(b"\n"):
+                    data += source.readline()
+                whole = data[: data.rfind(b"\n") + 1]
+                if not whole:
                     break
-                offsets.append(at)
-                values.append(line[:-1].decode("utf-8", "replace"))
-                at += len(line)
-                size += len(line)
-                if size >= 4 << 20:
-                    yield _batch(partition, offsets, values)
-                    offsets, values, size = [], [], 0
-            if offsets:
-                yield _batch(partition, offsets, values)
-
-
-def _batch(partition: ByteRange, offsets: list[int], values: list[str]) -> pa.RecordBatch:
-    n = len(offsets)
-    columns = [[partition.file] * n, [partition.start] * n, offsets, values]
+                yield _batch(partition, start, whole)
+                start += len(whole)
+
+
+def _batch(partition: ByteRange, start: int, whole: bytes) -> pa.RecordBatch:
+    pieces = whole[:-1].split(b"\n")
+    sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) + 1
+    n = len(pieces)
+    columns = [
+        [partition.file] * n,
+        np.full(n, partition.start),
+        start + np.cumsum(sizes) - sizes,
+        whole[:-1].decode("utf-8", "replace").split("\n"),
+    ]
     return pa.RecordBatch.from_arrays(
         [pa.array(c, field.type) for c, field in zip(columns, _SCHEMA)], schema=_SCHEMA
     )
