@@ -1,6 +1,6 @@
 """Time the headline jobs on log files rendered from ``lineitem``; prints one JSON line.
 
-Rendering is not timed. Each job runs once to warm up and then three times; the median counts.
+Rendering is not timed. Each job runs once to warm up and then twice; the mean counts.
 """
 
 import json
@@ -19,7 +19,7 @@ from workload import render as R
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = 3
+RUNS = 2
 TYPES = ["view", "purchase", "signup", "click", "error"]
 
 
