@@ -140,7 +140,7 @@ def learn_rules(
     bins: int = 64,
     max_rules: int = 8,
     max_conditions: int = 3,
-    min_support: int = 10,
+    min_support: int = 3,
     min_precision: float = 0.97,
 ) -> list[Rule]:
     """An ordered list of rules for ``bad`` rows of ``stats``, which hold :data:`FEATURES`.
@@ -224,11 +224,12 @@ def judge_quality(
 ) -> tuple[DataFrame, list[Rule]]:
     """Statistics, ``rule`` and ``kept`` for each row of ``docs``, and the list that was learned.
 
-    Rules are learned from at most about ``max_labelled`` rows of ``labels`` (label 0 is bad);
-    without labels only the base rule judges. Judging is one narrow pass over all texts.
+    Rules are learned from at most about ``max_labelled`` rows of ``labels`` (label 0 is bad)
+    that pass the base rule; without labels only the base rule judges. Judging is one narrow pass over all texts.
     Only ``id_col`` and the statistics are returned; other columns are not looked at.
     """
     slim = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     sample = labelled_sample(slim, labels, id_col, label_col, max_labelled)
-    rules = learn_rules(text_statistics(sample, "_text"), F.col("_label") == 0, id_col)
+    passed = text_statistics(sample, "_text").filter(~F.col("base_failed"))
+    rules = learn_rules(passed, F.col("_label") == 0, id_col)
     return apply_rules(text_statistics(slim, "_text").drop("_text"), rules), rules
