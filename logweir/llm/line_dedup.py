@@ -13,7 +13,7 @@ def dedup_lines(
     min_length: int = 20,
     min_docs: int = 3,
 ) -> DataFrame:
-    """Drop repeated lines, and return ``id_col, kept_text, n_lines, n_dropped`` per row.
+    """Drop repeated lines, and return ``id_col, kept_text, n_lines, n_dropped, row`` per row.
 
     A line's key is the stripped line with A-Z in lower case. A key of at least ``min_length``
     code points found in at least ``min_docs`` documents stays in the document with the largest
@@ -26,9 +26,10 @@ def dedup_lines(
     * A null or empty text is one empty line. An empty table gives no rows.
     * Rows with the same id are one document when documents are counted; each keeps its row.
     * A null id counts as one document and is never the one that keeps a line.
-    * Other columns are not looked at, whatever their names.
+    * Other columns are not looked at, whatever their names; ``row`` has them all as they came.
     """
-    rows = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"))
+    rows = docs.select(
+        F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"), F.struct(*docs.columns).alias("row"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     lines = rows.select(
         "id", "text_hash", F.posexplode(F.split(ascii_lower(F.col("text")), "\n")).alias("pos", "line")
@@ -63,4 +64,5 @@ def dedup_lines(
         kept.alias("kept_text"),
         F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
         F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        "row",
     )

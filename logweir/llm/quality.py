@@ -233,3 +233,10 @@ def judge_quality(
     passed = text_statistics(sample, "_text").filter(~F.col("base_failed"))
     rules = learn_rules(passed, F.col("_label") == 0, id_col)
     return apply_rules(text_statistics(slim, "_text").drop("_text"), rules), rules
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that base rule and learned list keep, with their columns and no others."""
+    _, rules = judge_quality(docs, labels, id_col, text_col)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"))
+    return apply_rules(text_statistics(rows, "_text"), rules).filter("kept").select("_row.*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .language import identify_language
 from .line_dedup import dedup_lines
 from .mixing import mix
+from .pieces import decode, encode, load_pieces
 from .pseudonyms import pseudonymise
 from .quality import judge_quality
 from .shingle_join import near_duplicates
@@ -57,6 +58,18 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", (~F.col("learned")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    coded = encode(table(spark, sf_dir, "documents"), pieces)
+    written = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(
+        "doc_id",
+        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"),
+        F.sha2(F.coalesce(written, F.lit("")), 256).alias("ids_sha256"),
+        decode(F.col("ids"), pieces).eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, _ = judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select(
