@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .language import identify_language
 from .line_dedup import dedup_lines
 from .mixing import mix
+from .ngram_score import score_texts
 from .pieces import decode, encode, load_pieces
 from .pseudonyms import pseudonymise
 from .quality import judge_quality
@@ -77,6 +78,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(table(spark, sf_dir, "documents"), learn_from=remainder(5) != 1)
+    return scored.withColumn("held_out", ~F.col("learned")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     name: query for name, query in globals().items() if name.startswith("op") and name[2].isdigit()
 }
