@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweir.session import cut_lineage
+
 from .text import let, whole
 
 SPACE = "▁"
 #: Words up to this length go through the lattice, whose state is the bits of a long.
 LATTICE_LETTERS = 62
 #: Bytes of text whose words form one vocabulary.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 
 
 @dataclass(frozen=True)
@@ -33,13 +35,8 @@ class PieceTable:
 
     @property
     def pattern(self) -> str:
-        """Words: stretches that no piece crosses. Valid in Python and Java alike.
-
-        Spaces stand only in front of pieces. A letter that no longer piece holds is a word.
-        """
-        joined = sorted({c for p, _, _ in self.pieces if len(p) > 1 for c in p} - {SPACE})
-        inner = "".join(f"\\u{ord(c):04x}" for c in joined if ord(c) < 0x10000)
-        return f"{SPACE}*[{inner}]+|{SPACE}+|[^{inner}{SPACE}]"
+        """Words: stretches that no piece crosses, as spaces stand only in front of pieces."""
+        return f"{SPACE}*[^{SPACE}]+|{SPACE}+"
 
 
 def load_pieces(path: str) -> PieceTable:
@@ -52,8 +49,6 @@ def load_pieces(path: str) -> PieceTable:
     kinds = model_pb2.ModelProto.SentencePiece
     if any(len(p.piece) > 1 and SPACE in p.piece.lstrip(SPACE) for p in model.pieces if p.type == kinds.NORMAL):
         raise ValueError("pieces that hold a space after a letter are not supported")
-    if any(ord(c) > 0xFFFF for p in model.pieces if p.type == kinds.NORMAL and len(p.piece) > 1 for c in p.piece):
-        raise ValueError("letters beyond the basic plane within longer pieces are not supported")
     if model.normalizer_spec.name != "identity" or model.normalizer_spec.remove_extra_whitespaces:
         raise ValueError("only models that leave the text as it is are supported")
     shown = [bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else b"" if p.type == kinds.CONTROL else p.piece.encode() for p in model.pieces]
@@ -174,9 +169,9 @@ def merged(word: str, ids: dict[str, int], scores: dict[str, float], first_byte:
 def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, text_col, ids`` of each whole text, without begin or end.
 
-    Texts are dealt to blocks of bounded size, the only shuffle. A block's distinct words are the
-    words of its lattice; their edges are grouped by word and folded to ids. Then the block's
-    texts are written in ids, word by word. A word of more than 62 letters, whose lattice
+    Texts are dealt to blocks of bounded size. The distinct words of all blocks form the lattice,
+    each once; its edges are grouped by word and folded to ids, which a join brings to the
+    blocks that hold the word. Then a block's texts are written in ids, word by word. A word of more than 62 letters, whose lattice
     would grow with its square, is merged by a heap while texts are written.
 
     For BPE models the fold merges by rank, as Viterbi over the scores would not give the ids of
@@ -193,10 +188,10 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
     block = F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block")
     dealt = rows.select(block, "id", "text").repartition(partitions_for(spark, blocks), "block")
     words = dealt.select("block", F.explode(F.regexp_extract_all(marked(F.col("text")), F.lit(table.pattern), 0)).alias("word"))
-    words = words.filter(F.length("word") <= LATTICE_LETTERS).distinct()
+    words = cut_lineage(words.filter(F.length("word") <= LATTICE_LETTERS).distinct())
     fold = merge_edges if table.merges else best_path
-    known = lattice(words, table, ["block", "word"]).select(
-        F.col("block").alias("known_block"), "word", fold(F.col("edges"), F.col("n")).alias("ids"))
+    folded = lattice(words.select("word").distinct(), table, ["word"]).select("word", fold(F.col("edges"), F.col("n")).alias("ids"))
+    known = words.join(folded, "word").select(F.col("block").alias("known_block"), "word", "ids")
     pattern, merges = table.pattern, table.merges
     ids = {p: i for p, i, _ in table.pieces}
     scores = {p: s for p, _, s in table.pieces}
