@@ -48,8 +48,13 @@ def repeated_positions(words: Column) -> Column:
     """How many words stand in 3-word windows that occur twice or more.
 
     A window's hash and its position share one long, so that one sort of plain numbers brings
-    equal windows together. The hash has 64 bits less those that the positions need.
+    equal windows together. The hash has 64 bits less those that the positions need. The words
+    are bound first: a filter pushed below the split would else split the text again per window.
     """
+    return let(words, _repeated)
+
+
+def _repeated(words: Column) -> Column:
     bits = F.ceil(F.log2(F.size(words) + 1)).cast("int")
 
     def keyed(b: Column) -> Column:
