@@ -91,13 +91,15 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """How many words of each document the mix takes; all columns of ``docs`` and ``mix_*``.
-
-    Sources are cut into shards by a seeded hash, about as many as the root of their number of
-    documents, so that neither a shard nor the list of shards grows with the whole source. A
-    shard's documents stand in seeded order, as one ring of blocks of ``block`` words. Sources
-    get integer numbers of blocks by Sainte-Laguë, and share them among their shards likewise.
-    A shard takes its ring as often as its quota allows, and for the remainder a run of blocks
+    """How many words of each document the mix takes: ``row`` (its columns) and ``mix_*``.
+
+    Sources get integer numbers of equal blocks of words by Sainte-Laguë. A block has ``block`` words,
+    or fewer where a source's target would be under a thousand blocks, so each source is
+    within half a block, 0.05 % or one word, of its target. Sources are cut into shards by a
+    seeded hash, about as many as the root of their number of documents, so that neither a shard
+    nor the list of shards grows with the whole source; a source's words are shared among its
+    shards by Sainte-Laguë again. A shard's documents stand in seeded order, as one ring of
+    words. It takes the ring as often as its quota allows, and for the remainder a run of words
     from a seeded place on; so most documents are taken whole, 0, 1 or 2 times.
 
     Added: ``mix_size`` (words), ``mix_source_size``, ``mix_target``, ``mix_taken`` (words,
@@ -106,67 +108,68 @@ def mix(
 
     * A null text has no words; null is a source of its own, the last one.
     * Documents of no words are taken with 0 words. An empty table gives no rows.
-    * Repeated rows are documents of their own. Ties in the seeded order are broken by id and
-      size; rows equal in both may change places, which changes no number.
-    * Columns of other names are kept; ``mix_*`` must be free.
+    * Repeated rows are documents of their own. Ties in the seeded order are broken by id, size
+      and text; rows equal in all may change places, which changes no number.
+    * Other columns are not looked at, whatever their names; ``row`` has them as they came.
     """
-    rows = docs.withColumn("mix_size", count_words(F.col(text_col)))
-    slim = rows.select(F.col(source_col).alias("source"), F.col("mix_size").alias("size"))
-    sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        F.col(id_col).alias("id"),
+        F.col(source_col).alias("source"),
+        count_words(F.col(text_col)).alias("size"),
+        F.xxhash64(F.lit(seed), F.col(id_col).cast("string")).alias("place"),
+        F.xxhash64(text_col).alias("text_hash"),
+    )
+    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
     sources = sources.withColumn("shards", F.ceil(F.sqrt("source_docs")).cast("int"))
     targets = source_targets(sources.select("source", "source_size"), weights, share, cap)
-    targets = targets.withColumn("seats", F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block).cast("long"))
-    targets = targets.withColumn("most", F.ceil(F.col("source_size") * cap / block)).withColumn("all", F.lit(0))
+    every = Window.partitionBy(F.lit(0))
+    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(every)
+    targets = targets.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(least / 1000))).cast("long"))
+    targets = targets.withColumn("seats", F.round(F.sum("target").over(every) / F.col("block")).cast("long"))
+    targets = targets.withColumn("most", F.floor(F.col("source_size") * cap / F.col("block"))).withColumn("all", F.lit(0))
     quotas = sainte_lague(targets, ["all"], ["no"], "target", "seats", "most")
-    shards = sources.select(F.col("source").alias("_source"), "shards")
+    shards = sources.select(F.col("source").alias("same_source"), "shards")
     facts = cut_lineage(
-        quotas.join(shards, F.col("source").eqNullSafe(F.col("_source")))
-        .select("no", "source", "source_size", "target", "quota", "shards")
+        quotas.join(shards, F.col("source").eqNullSafe(F.col("same_source")))
+        .select("no", "source", "source_size", "target", (F.col("quota") * F.col("block")).alias("quota"), "shards")
     )
-    known = facts.select(*[F.col(c).alias(f"mix_{c}") for c in facts.columns])
+    known = facts.withColumnRenamed("source", "same_source")
     if facts.count() <= SMALL_SOURCES:
         known = F.broadcast(known)
 
-    rows = rows.withColumn("mix_order", F.xxhash64(F.lit(seed), F.col(id_col).cast("string")))
-    rows = rows.join(known, F.col(source_col).eqNullSafe(F.col("mix_source")))
-    rows = rows.withColumn("mix_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "mix_order"), F.col("mix_shards")).cast("int"))
-
-    shards = rows.groupBy("mix_no", "mix_shard").agg(
-        F.sum("mix_size").alias("shard_size"),
-        F.first("mix_source_size").alias("source_size"),
-        F.first("mix_target").alias("target"),
-        F.first("mix_quota").alias("seats"),
+    rows = rows.join(known, F.col("source").eqNullSafe(F.col("same_source")))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "place"), F.col("shards")).cast("int"))
+    shards = rows.groupBy("no", "shard").agg(
+        F.sum("size").alias("ring"),
+        F.first("source_size").alias("whole"),
+        F.first("target").alias("aim"),
+        F.first("quota").alias("seats"),
     )
-    shards = shards.filter("shard_size > 0").withColumn("blocks", F.ceil(F.col("shard_size") / block)).withColumn(
-        "vote", F.col("target") * F.col("shard_size") / F.col("source_size")
-    ).withColumn("most", F.ceil(F.col("blocks") * cap))
-    shards = sainte_lague(shards, ["mix_no"], ["mix_shard"], "vote", "seats", "most")
-    ring = F.col("blocks") * block
-    shards = shards.select(
-        "mix_no", "mix_shard",
-        F.floor(F.col("quota") / F.col("blocks")).alias("_rounds"),
-        ring.alias("_ring"),
-        (F.pmod(F.xxhash64(F.lit(seed + 2), "mix_no", "mix_shard"), F.col("blocks")) * block).alias("_first"),
-        ((F.col("quota") % F.col("blocks")) * block).alias("_length"),
+    shards = shards.filter("ring > 0").withColumn("vote", F.col("aim") * F.col("ring") / F.col("whole"))
+    shards = shards.withColumn("most", F.floor(F.col("ring") * cap))
+    shards = sainte_lague(shards, ["no"], ["shard"], "vote", "seats", "most").select(
+        "no", "shard", "ring",
+        F.floor(F.col("quota") / F.col("ring")).alias("rounds"),
+        F.pmod(F.xxhash64(F.lit(seed + 2), "no", "shard"), F.col("ring")).alias("first"),
+        (F.col("quota") % F.col("ring")).alias("length"),
     )
-    line = Window.partitionBy("mix_no", "mix_shard").orderBy("mix_order", id_col, "mix_size")
-    ids = rows.columns
-    placed = rows.withColumn("mix_start", F.sum("mix_size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("mix_size"))
-    placed = placed.join(shards, ["mix_no", "mix_shard"], "left")
-    rounds, start, size = F.coalesce("_rounds", F.lit(0)), F.col("mix_start"), F.col("mix_size")
-    extra = F.coalesce(overlap(start, size, F.col("_first"), F.col("_length"), F.col("_ring")), F.lit(0))
-    end = F.col("_first") + F.col("_length")
+    line = Window.partitionBy("no", "shard").orderBy("place", "id", "size", "text_hash")
+    before = F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    placed = rows.withColumn("start", before).join(shards, ["no", "shard"], "left")
+    rounds, start, size = F.coalesce("rounds", F.lit(0)), F.col("start"), F.col("size")
+    extra = F.coalesce(overlap(start, size, F.col("first"), F.col("length"), F.col("ring")), F.lit(0))
+    end = F.col("first") + F.col("length")
     span = lambda a, b: F.struct(a.cast("long").alias("from"), b.cast("long").alias("to"))
     spans = F.filter(
         F.array(
-            span(F.greatest(start, F.col("_first")) - start, F.least(start + size, end) - start),
-            span(F.lit(0), F.least(start + size, end - F.col("_ring")) - start),
+            span(F.greatest(start, F.col("first")) - start, F.least(start + size, end) - start),
+            span(F.lit(0), F.least(start + size, end - F.col("ring")) - start),
         ),
         lambda s: s["to"] > s["from"],
     )
-    kept = [c for c in ids if not c.startswith("mix_")]
     return placed.select(
-        *kept, "mix_size", "mix_source_size", "mix_target",
+        "row", size.alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"),
         (rounds * size + extra).cast("long").alias("mix_taken"),
         rounds.cast("long").alias("mix_rounds"),
         F.when(extra > 0, spans).otherwise(F.array().cast("array<struct<from:bigint,to:bigint>>")).alias("mix_spans"),
@@ -174,22 +177,20 @@ def mix(
 
 
 def taken_rows(mixed: DataFrame, text_col: str = "text") -> DataFrame:
-    """The mix as documents: a row for each time one is taken, the columns of ``docs``.
+    """The mix as documents: a row for each time one is taken, with the columns that were mixed.
 
     A whole document keeps its text; a document cut by the end of a run gives the words of
     its span, joined by single spaces. Documents of no words, which no quota counts, stay.
     """
-    columns = [c for c in mixed.columns if not c.startswith("mix_")]
-    span = F.col("mix_span")
+    span, size, text = F.col("mix_span"), F.col("mix_size"), F.col("row")[text_col]
+    one = lambda a, b: F.struct(a.cast("long").alias("from"), b.cast("long").alias("to"))
     wholes = F.transform(
         F.when(F.col("mix_rounds") > 0, F.sequence(F.lit(1), F.col("mix_rounds"))).otherwise(F.array().cast("array<bigint>")),
-        lambda _: F.struct(F.lit(0).cast("long").alias("from"), F.col("mix_size").alias("to")),
-    )
-    none = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.lit(0).cast("long").alias("to")))
-    pieces = F.when(F.col("mix_size") == 0, none).otherwise(F.concat(wholes, F.col("mix_spans")))
-    out = mixed.withColumn("mix_span", F.explode(pieces))
-    cut = F.array_join(
-        F.slice(words_of(F.col(text_col)), (span["from"] + 1).cast("int"), (span["to"] - span["from"]).cast("int")), " "
+        lambda _: one(F.lit(0), size),
     )
-    is_whole = (span["from"] == 0) & (span["to"] == F.col("mix_size"))
-    return out.withColumn(text_col, F.when(is_whole, F.col(text_col)).otherwise(cut)).select(*columns)
+    pieces = F.when(size == 0, F.array(one(F.lit(0), F.lit(0)))).otherwise(F.concat(wholes, F.col("mix_spans")))
+    out = mixed.select("row", "mix_size", F.explode(pieces).alias("mix_span"))
+    cut = F.array_join(F.slice(words_of(text), (span["from"] + 1).cast("int"), (span["to"] - span["from"]).cast("int")), " ")
+    taken = F.when((span["from"] == 0) & (span["to"] == size), text).otherwise(cut)
+    fields = mixed.schema["row"].dataType.names
+    return out.select(*[(taken if c == text_col else F.col("row")[c]).alias(c) for c in fields])
