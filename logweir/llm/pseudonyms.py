@@ -1,13 +1,17 @@
 """Format-preserving pseudonyms for personal numbers and dates in texts, by keyed Feistel rounds."""
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import let, whole
 
-#: The shapes that are looked for, in this order, each with what may stand before it.
+#: The shapes that are looked for, in this order, each with what may stand before it. A mail
+#: address has 64 characters before the sign and 127 labels after it at most, as the mail and name
+#: systems have it; so no repetition of a group is without a bound.
 SHAPES = {
-    "email": r"(?<![A-Za-z0-9._+-])[A-Za-z0-9][A-Za-z0-9._+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._+-])[A-Za-z0-9][A-Za-z0-9._+-]{0,63}+@(?:[A-Za-z0-9-]+\.){1,126}[A-Za-z]{2,}",
     "address": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![.]?\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?!\d)",
@@ -227,12 +231,15 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     pseudonyms in all documents, different ones different, and pseudonyms pass the same check.
     ``n_unchecked`` counts values of a known shape that fail the check and stay.
 
-    Everything is a column expression on one row; there is no shuffle and no Python.
+    Everything is a column expression on one row; there is no shuffle and no Python. Plans and
+    event logs show a digest of ``key``, never the key; keep them private all the same, since the
+    digest is enough to map values.
 
     * A null text stays null with zeros. Texts without such values stay as they are.
     * Repeated rows give repeated rows; an empty table gives none; other columns are not looked at.
     * Dates outside the 400 years from 1800 on, and days that do not exist, stay.
     """
+    key = hashlib.sha256(key.encode()).hexdigest()
     t = F.col("_text")
     none = F.array().cast("array<string>")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
