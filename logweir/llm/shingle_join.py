@@ -281,12 +281,13 @@ def near_duplicates(
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without those whose class has a row with a smaller id.
 
-    Of rows equal in id one stays, and all rows without words stay. Columns are those of ``docs``.
+    Of rows equal in id one stays, and all rows without words stay. Columns are those of
+    ``docs``, whatever their names; an empty table gives no rows.
     """
     classes = near_duplicates(docs, id_col, text_col).filter("n_links > 0")
-    later = classes.select(F.col(id_col).alias("_id"), F.col("class_id").alias("_class")).distinct()
-    rows = docs.join(later, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
-    alone = rows.filter("_class IS NULL").drop("_class")
-    first = Window.partitionBy("_class").orderBy(F.col(id_col).asc_nulls_last(), text_col)
-    kept = rows.filter("_class IS NOT NULL").withColumn("_nth", F.row_number().over(first)).filter("_nth = 1")
-    return alone.unionByName(kept.drop("_class", "_nth"))
+    later = classes.select(F.col(id_col).alias("member"), F.col("class_id").alias("class")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = rows.join(later, F.col("id").eqNullSafe(F.col("member")), "left")
+    first = Window.partitionBy("class").orderBy(F.col("id").asc_nulls_last(), "text")
+    kept = rows.filter("class IS NOT NULL").withColumn("nth", F.row_number().over(first)).filter("nth = 1")
+    return rows.filter("class IS NULL").select("row").unionByName(kept.select("row")).select("row.*")
