@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import sampled
+
 #: N-grams whose vectors a worker keeps, letters handled in one go, texts and cells of a count matrix.
 VECTORS, LETTERS, TEXTS, CELLS = 20_000, 500_000, 256, 4_000_000
 
@@ -139,7 +141,7 @@ def learn_prototypes(
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     share = min(1.0, max_rows / max(1, rows.count()))
-    rows = rows.filter(F.pmod(F.xxhash64(F.lit(3), text_col), F.lit(1_000_000)) < int(share * 1_000_000))
+    rows = rows.filter(sampled(share, F.lit(3), F.col(text_col)))
     dimensions, n, seed = space.dimensions, space.n, space.seed
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

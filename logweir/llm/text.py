@@ -42,5 +42,10 @@ def pair_hash(*parts: Column) -> tuple[Column, Column]:
     return F.xxhash64(*parts), F.xxhash64(F.lit(0x5EED), *parts)
 
 
+def sampled(share: float, *parts: Column) -> Column:
+    """True for about ``share`` of the values, chosen by a hash of 64 bits."""
+    return F.lit(True) if share >= 1 else F.xxhash64(*parts) < F.lit(int(share * 2**64) - 2**63)
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logweir.session import cut_lineage
 
-from .text import pair_hash
+from .text import pair_hash, sampled
 
 #: Vectors and queries that one task compares at most, on average.
 BLOCK_VECTORS, BLOCK_QUERIES = 8_192, 4_096
@@ -151,10 +151,7 @@ def nearest(
     entries = cut_lineage(entries.select("ids", "v"))
     total = entries.count()
     share = min(1.0, sample_rows / max(1, total))
-    sampled = entries.filter(F.pmod(F.xxhash64(F.lit(1), "v"), F.lit(1_000_000)) < max(1, int(share * 1_000_000))).select("v").toPandas()
-    if not len(sampled):  # the share of a tiny table
-        sampled = entries.select("v").limit(1).toPandas()
-    sample = unit_rows(sampled["v"])
+    sample = unit_rows(entries.filter(sampled(share, F.lit(1), F.col("v"))).select("v").toPandas()["v"])
     index = fit_index(sample[np.lexsort(sample.T)], codes, k, recall, seed)
 
     def coded(frames):
