@@ -2,6 +2,7 @@
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,12 @@ class Transform:
         return times(rows, self.scale)
 
 
+@lru_cache(maxsize=32)
+def transform_of(size: int) -> Transform:
+    """Its tables are as large as two rows, and are made once per size."""
+    return Transform(size)
+
+
 def occurrences(codes: np.ndarray, starts: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     """``(start, distance)`` where a block of ``block`` words occurs again ``distance`` later,
     for all distances from ``block`` to ``2 * block - 1``.
@@ -79,7 +86,7 @@ def occurrences(codes: np.ndarray, starts: np.ndarray, block: int) -> tuple[np.n
     A multiple of the prime would look like 0 as well; the caller compares the words themselves.
     """
     window = 2 * block - 1
-    transform = Transform(2 * block)
+    transform = transform_of(2 * block)
     padded = np.concatenate([codes, np.zeros(3 * block, np.uint64)])
     found = []
     for at in range(0, len(starts), max(1, TOGETHER // (2 * block))):
@@ -132,7 +139,8 @@ def find_runs(codes: np.ndarray) -> list[tuple[int, int, int]]:
         starts = np.arange(n // block) * block
         returns = gap[: len(starts) * block].reshape(-1, block).max(axis=1) < 2 * block
         new = covered_to[starts] < np.minimum(n, starts + 3 * block - 1)
-        at, distance = occurrences(codes, starts[returns & new], block)
+        starts = starts[returns & new]
+        at, distance = occurrences(codes, starts, block)
         known = (covered_to[at] >= at + block + distance) & (distance % covered_by[at] == 0)
         done: dict[int, int] = {}
         for a, d in zip(at[~known].tolist(), distance[~known].tolist(), strict=True):
@@ -167,8 +175,8 @@ def collapse(words: list[str], runs: list[tuple[int, int, int]]) -> list[str]:
 
 def coded(words: list[str]) -> np.ndarray:
     """Numbers from 1, equal for equal words."""
-    numbers: dict[str, int] = {}
-    return np.fromiter((numbers.setdefault(w, len(numbers) + 1) for w in words), np.uint64, len(words))
+    numbers = {w: i for i, w in enumerate(dict.fromkeys(words), 1)}
+    return np.fromiter(map(numbers.__getitem__, words), np.uint64, len(words))
 
 
 def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
