@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logweir.session import cut_lineage
 
-from .text import BLANKS, let, whole, words_of
+from .text import BLANKS, let, sampled, whole, words_of
 
 #: The statistics that rules may test.
 FEATURES = ("n_words", "mean_word", "symbol_share", "upper_share", "mark_share", "dup_line_share", "repeat_share")
@@ -47,30 +47,25 @@ def verdict(rules: list[Rule]) -> Column:
 def repeated_positions(words: Column) -> Column:
     """How many words stand in 3-word windows that occur twice or more.
 
-    A window's hash and its position share one long, so that one sort of plain numbers brings
-    equal windows together. The hash has 64 bits less those that the positions need. The words
-    are bound first: a filter pushed below the split would else split the text again per window.
+    Windows are sorted by a 64-bit hash and their place, which brings equal ones together. The
+    words are bound first: a filter pushed below the split would else split the text again per window.
     """
     return let(words, _repeated)
 
 
 def _repeated(words: Column) -> Column:
-    bits = F.ceil(F.log2(F.size(words) + 1)).cast("int")
+    def window(i: Column) -> Column:
+        return F.struct(F.xxhash64(words[i], words[i + 1], words[i + 2]).alias("gram"), i.alias("place"))
 
-    def keyed(b: Column) -> Column:
-        key = lambda i: F.call_function("shiftleft", F.xxhash64(words[i], words[i + 1], words[i + 2]), b) + i
-        return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), key))
-
-    def again(keys: Column, b: Column) -> Column:
-        gram = lambda j: F.call_function("shiftright", keys[j], b)
-        place = lambda j: F.pmod(keys[j], F.call_function("shiftleft", F.lit(1).cast("long"), b))
+    def again(keys: Column) -> Column:
         last = F.size(keys) - 1
-        twin = lambda j: ((j > 0) & (gram(j) == gram(F.greatest(j - 1, F.lit(0))))) | (
-            (j < last) & (gram(j) == gram(F.least(j + 1, last)))
+        gram = lambda j: keys[j]["gram"]
+        twin = lambda x, j: ((j > 0) & (x["gram"] == gram(F.greatest(j - 1, F.lit(0))))) | (
+            (j < last) & (x["gram"] == gram(F.least(j + 1, last)))
         )
-        return F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), last), twin), place))
+        return F.sort_array(F.transform(F.filter(keys, twin), lambda x: x["place"]))
 
-    places = let(bits, lambda b: let(keyed(b), lambda keys: again(keys, b)))
+    places = let(F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), window)), again)
     state = lambda last, n: F.struct(last.cast("long").alias("last"), n.cast("long").alias("n"))
     count = F.aggregate(
         places, state(F.lit(-3), F.lit(0)),
@@ -128,7 +123,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col:
     labels = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     labels = labels.groupBy(id_col).agg(F.min(label_col).alias("_label"))
     share = min(1.0, max_rows / max(1, labels.count()))
-    chosen = labels.filter(F.pmod(F.xxhash64(F.lit(9), id_col), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = labels.filter(sampled(share, F.lit(9), F.col(id_col)))
     chosen = chosen.select(F.col(id_col).alias("_label_id"), "_label")
     return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_label_id")).drop("_label_id")
 
@@ -232,10 +227,17 @@ def judge_quality(
     Rules are learned from at most about ``max_labelled`` rows of ``labels`` (label 0 is bad)
     that pass the base rule; without labels only the base rule judges. Judging is one narrow pass over all texts.
     Only ``id_col`` and the statistics are returned; other columns are not looked at.
+
+    The statistics of the labelled rows are written once. A filter on them, pushed below the join
+    with the labels, would else compute them for all rows.
+
+    * A null or empty text has no words and fails the base rule.
+    * Labels that are null or without an id are left out; of several for one id the smallest counts.
+    * Repeated rows are judged alike, each for itself; an empty table gives no rows.
     """
     slim = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     sample = labelled_sample(slim, labels, id_col, label_col, max_labelled)
-    passed = text_statistics(sample, "_text").filter(~F.col("base_failed"))
+    passed = cut_lineage(text_statistics(sample, "_text").drop("_text")).filter(~F.col("base_failed"))
     rules = learn_rules(passed, F.col("_label") == 0, id_col)
     return apply_rules(text_statistics(slim, "_text").drop("_text"), rules), rules
 
