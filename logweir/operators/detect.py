@@ -32,20 +32,25 @@ def detect_format(lines: DataFrame) -> DataFrame:
     sample = lines.where(F.col("line_number") <= P.DETECTION_LINES).select(
         "file", strip(F.col("value")).alias("raw")
     )
-    raw = F.col("raw")
     counts = sample.groupBy("file").agg(
-        F.count_if(is_json(raw)).alias("json"),
-        F.count_if(is_apache(raw)).alias("apache"),
-        F.count_if(is_nginx(raw)).alias("nginx"),
+        *[F.count_if(is_kind).alias(kind) for kind, is_kind in votes(F.col("raw")).items()]
     )
+    return counts.select("file", elected().alias("format"))
+
+
+def votes(raw: Column) -> dict[str, Column]:
+    """What a stripped line speaks for."""
+    return {"json": is_json(raw), "apache": is_apache(raw), "nginx": is_nginx(raw)}
+
+
+def elected() -> Column:
+    """The format by the counts of votes, which are columns of these names."""
     json, apache, nginx = F.col("json"), F.col("apache"), F.col("nginx")
-    return counts.select(
-        "file",
+    return (
         F.when((json > apache) & (json > nginx), "json")
         .when((nginx >= apache) & (nginx > 0), "nginx")
         .when(apache > 0, "apache")
         .otherwise("custom")
-        .alias("format"),
     )
 
 

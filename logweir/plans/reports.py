@@ -1,6 +1,6 @@
 """Parse, filter and statistics jobs."""
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from logweir.operators.stats import stats_document, tally
 from logweir.patterns import DETECTION_LINES, FOLLOW_LINES, PREVIEW_LINES, TOP_ENTRIES
 from logweir.session import cut_lineage
 from logweir.sources import read_heads, read_lines
-from logweir.streaming import follow_lines, tail_view
+from logweir.streaming import follow_lines, follow_rows, tail_view, with_lasting_format
 
 Paths = str | Sequence[str]
 
@@ -98,14 +98,17 @@ def follow_report(
     initial_lines: int | str = FOLLOW_LINES,
     levels: Sequence[str] = (),
     highlight: str | None = None,
+    follow: Mapping[str, object] | None = None,
     **options,
 ) -> DataFrame:
-    """Stream of display rows of growing files. With ``auto``, the formats of the files
-    present at the start are told from their heads; files that come later are custom."""
-    lines = follow_lines(spark, path, initial_lines)
+    """Stream of display rows of growing files. With ``auto``, the format of each file is told
+    once, when it first has lines, and kept with the stream's checkpoint; ``line`` is NULL. For
+    true line numbers, and for files of many gigabytes, use ``streaming.view_batches``.
+
+    ``follow`` has options of ``streaming.follow_rows``."""
+    follow = dict(follow or {})
     if format == "auto":
-        formats = detect_format(read_heads(spark, path, DETECTION_LINES))
-        # The stream names files by plain path.
-        plain = F.url_decode(F.replace(F.regexp_replace("file", "^file:(//)?", ""), F.lit("+"), F.lit("%2B")))
-        lines = with_format(lines, formats.withColumn("file", plain))
+        lines = with_lasting_format(follow_rows(spark, path, initial_lines, **follow))
+    else:
+        lines = follow_lines(spark, path, initial_lines, **follow)
     return tail_view(lines, format, levels, highlight, **options)

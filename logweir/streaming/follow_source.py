@@ -1,55 +1,83 @@
 """Streaming source ``log_follow``: lines appended to files.
 
 Spark's own file stream reads each file once and ignores what is appended later. Here an
-offset is the byte position reached in each file. Planning only looks at file sizes and
-around the last line end; the bytes are read by executors, in ranges. All machines must see
-the files under the same paths.
+offset holds, for each file, the bytes reached and what tells it from another file of the same name.
+Planning looks at sizes and at the first kilobyte of files that changed; lines are found by
+tasks, in byte ranges. All machines must see the files under the same paths.
 """
 
 import glob
+import hashlib
 import os
-from collections.abc import Iterator
+import time
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from logweir.functions.text import WHITE_SPACE
-from logweir.patterns import FOLLOW_LINES
+from logweir.patterns import DETECTION_LINES, FOLLOW_LINES
 
 _BLOCK = 1 << 16
 _READ = 4 << 20
-_SCHEMA = pa.schema(
-    [
-        ("file", pa.string()),
-        ("range_start", pa.int64()),
-        ("byte_offset", pa.int64()),
-        ("value", pa.string()),
-    ]
-)
+#: First bytes of a file kept as they are, and lengths of which only a digest is kept.
+_HEAD, _DEEPER = 64, (256, 1024)
+
+SCHEMA = "file string, file_id string, kind string, range_start bigint, byte_offset bigint, ordinal bigint, value string"
+_ARROW = pa.schema([(name, pa.int64() if kind == "bigint" else pa.string()) for name, kind in (f.split() for f in SCHEMA.split(", "))])
 
 
 class LogFollowSource(DataSource):
-    """Options: ``path`` (file, folder or glob); ``initialLines``, how many non-blank lines
-    of each file present at the start come first, or ``all``; ``rangeBytes`` per task."""
+    """Rows of kind ``line`` are non-blank lines; ``ordinal`` counts those of a byte range.
+
+    Options:
+
+    * ``path``: file, folder or glob.
+    * ``initialLines``: how many non-blank lines of each file present at the start come first
+      (kind ``backlog``), or ``all``.
+    * ``rangeBytes`` per task.
+    * ``settleSeconds`` (60): an unfinished last line is released when its file has been still for so
+      long; what is appended to it afterwards is a line of its own.
+    * ``onLoss``: ``fail``, or ``skip`` to go on without bytes that are gone before they were read.
+    * ``index``: also rows of kind ``head``, the first lines of each file with new bytes, and
+      ``count``, the number of non-blank lines (``ordinal``) of each range before a backlog's end.
+
+    A file keeps its place when it is renamed, and begins anew when it is rewritten in place. It
+    is known by device and inode together with its first bytes; if these pass to another inode
+    (a copy before truncation, a move to another disk), the copy goes on where the file was, given
+    that at least 64 bytes tell so.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "log_follow"
 
     def schema(self) -> str:
-        return "file string, range_start bigint, byte_offset bigint, value string"
+        return SCHEMA
 
     def streamReader(self, schema) -> "LogFollowReader":
         return LogFollowReader(self.options)
 
 
+@dataclass
 class ByteRange(InputPartition):
-    def __init__(self, file: str, start: int, stop: int, at_line_start: bool):
-        self.file = file
-        self.start = start
-        self.stop = stop
-        self.at_line_start = at_line_start
+    """A task: lines that end in ``[start, stop)``, or another ``kind`` of rows."""
+
+    file: str
+    file_id: str
+    head: str
+    start: int
+    stop: int
+    kind: str = "line"
+    #: The range begins with a line; else its first line begins before, but not before ``floor``.
+    at_line_start: bool = True
+    floor: int = 0
+    #: What follows the last line end counts as a line.
+    final: bool = False
+    #: Lines of a backlog, or of a head.
+    lines: int = 0
 
 
 class LogFollowReader(DataSourceStreamReader):
@@ -57,7 +85,11 @@ class LogFollowReader(DataSourceStreamReader):
         self.path = options["path"]
         self.initial = str(options.get("initialLines", FOLLOW_LINES))
         self.range_bytes = int(options.get("rangeBytes", 16 << 20))
-        self.reached: dict[str, int] = {}
+        self.settle = float(options.get("settleSeconds", 60))
+        self.skip_loss = str(options.get("onLoss", "fail")).lower() == "skip"
+        self.index = str(options.get("index", "false")).lower() == "true"
+        self.reached: dict[str, dict] = {}
+        self.looked: dict[str, tuple] = {}
 
     def _files(self) -> list[str]:
         found = []
@@ -73,108 +105,245 @@ class LogFollowReader(DataSourceStreamReader):
                 found.append(path)
         return sorted(found)
 
-    def initialOffset(self) -> dict:
-        if self.initial == "all":
-            return {}
-        return {file: _before_last_lines(file, int(self.initial)) for file in self._files()}
+    def _look(self, file: str) -> tuple[str, dict]:
+        """Identity and place of a file; only a file that changed is opened, for its first bytes."""
+        stat = os.stat(file)
+        file_id = f"{stat.st_dev}:{stat.st_ino}" if stat.st_ino else file
+        state = (file, stat.st_size, stat.st_mtime_ns)
+        if self.looked.get(file_id, (None,))[0] != state:
+            self.looked[file_id] = (state, _head_of(file, stat.st_size))
+        head, deeper = self.looked[file_id][1]
+        still = time.time() - stat.st_mtime >= self.settle
+        return file_id, {"file": file, "pos": stat.st_size, "whole": still, "floor": 0, "head": head, "deeper": deeper}
 
-    def latestOffset(self) -> dict:
-        # A file that is missing for now keeps the position reached in it.
-        latest = dict(self.reached)
+    def _present(self) -> dict[str, dict]:
+        present = {}
         for file in self._files():
             try:
-                latest[file] = _after_last_newline(file)
+                file_id, entry = self._look(file)
             except FileNotFoundError:
                 continue
-        return latest
+            present[file_id] = entry
+        return present
+
+    def initialOffset(self) -> dict:
+        if self.initial == "all":
+            return {}
+        return {k: {**entry, "last": int(self.initial)} for k, entry in self._present().items()}
+
+    def latestOffset(self) -> dict:
+        # A file that is missing for now keeps its place, as long as the stream runs.
+        latest = {k: v for k, v in self.reached.items()}
+        for file_id, entry in self._present().items():
+            before = self.reached.get(file_id)
+            if before and _same(before, entry):
+                entry["floor"] = before["pos"] if before["whole"] else before["floor"]
+                if before["pos"] == entry["pos"]:
+                    entry["floor"], entry["whole"] = before["floor"], before["whole"] or entry["whole"]
+            latest[file_id] = entry
+        return dict(sorted(latest.items()))
 
     def partitions(self, start: dict, end: dict) -> list[ByteRange]:
         ranges = []
-        for file, stop in end.items():
-            first = start.get(file, 0)
-            if stop < first:  # rewritten: begin anew
-                first = 0
-            for at in range(first, stop, self.range_bytes):
-                ranges.append(
-                    ByteRange(file, at, min(at + self.range_bytes, stop), at == first)
-                )
-        self.reached = dict(end)
+        for file_id, now in end.items():
+            ranges += self._ranges(file_id, _place_before(file_id, now, start, end), now)
+        self.reached = {k: {name: v for name, v in entry.items() if name != "last"} for k, entry in end.items()}
         return ranges
 
+    def _ranges(self, file_id: str, before: dict, now: dict) -> Iterator[ByteRange]:
+        first, stop = before["pos"], now["pos"]
+        last, ended = before.get("last"), now["whole"] and (stop > first or not before["whole"] or "last" in before)
+        own = {"file": now["file"], "file_id": file_id, "head": now["head"]}
+        if self.index and (stop > first or last or ended):
+            yield ByteRange(**own, start=0, stop=stop, kind="head", final=now["whole"], lines=DETECTION_LINES)
+        floor = 0
+        if last is None:
+            whole, floor = before["whole"], first if before["whole"] else before["floor"]
+        else:
+            whole = ended and stop == first  # an unfinished line belongs to the backlog if it is not waited for
+            if last:
+                yield ByteRange(**own, start=0, stop=first, kind="backlog", final=whole, lines=last)
+            for at in range(0, first, self.range_bytes) if self.index else ():
+                upto = min(at + self.range_bytes, first)
+                yield ByteRange(**own, start=at, stop=upto, kind="count", at_line_start=at == 0, final=whole and upto == first)
+            if whole:
+                return
+        starts = range(first, stop, self.range_bytes) if stop > first else [first] if ended and not whole else []
+        for at in starts:
+            upto = min(at + self.range_bytes, stop)
+            yield ByteRange(
+                **own, start=at, stop=upto, at_line_start=whole and at == first, floor=floor, final=now["whole"] and upto == stop)
+
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        """All lines that start within the range, the last one to its end."""
+        source = _open(partition)
+        if source is None:
+            if self.skip_loss:
+                return
+            raise FileNotFoundError(
+                f"{partition.file} is gone or shorter than the {partition.stop} bytes that were to be read; "
+                "set onLoss to skip to go on without them")
+        with source:
+            if partition.kind == "backlog":
+                lines = last_lines(source, partition.stop, partition.lines, partition.final)
+                yield _batch(partition, lines, 0, -1)
+                return
+            if partition.kind == "count":
+                found = sum(sum(1 for _, line in part if line.strip(WHITE_SPACE)) for part in _parts(source, partition))
+                yield _rows(partition, partition.start, [partition.start], [found], [None])
+                return
+            done = 0
+            for part in _parts(source, partition):
+                batch = _batch(partition, part, done, partition.start)
+                done += batch.num_rows
+                if partition.kind == "head" and done >= partition.lines:
+                    yield batch.slice(0, batch.num_rows - (done - partition.lines))
+                    return
+                if batch.num_rows:
+                    yield batch
+
+
+def _head_of(file: str, size: int) -> tuple[str, list[str]]:
+    """First bytes of a file below ``size``: some in hex, digests of longer beginnings."""
+    with open(file, "rb") as source:
+        data = source.read(min(size, max(_DEEPER)))
+    return data[:_HEAD].hex(), [hashlib.blake2b(data[:n], digest_size=8).hexdigest() for n in _DEEPER if n <= len(data)]
+
+
+def _same(before: dict, now: dict) -> bool:
+    """Whether a file can have grown from one place to the other."""
+    return (
+        now["pos"] >= before["pos"]
+        and now["head"].startswith(before["head"])
+        and now["deeper"][: len(before["deeper"])] == before["deeper"]
+    )
+
+
+def _place_before(file_id: str, now: dict, start: dict, end: dict) -> dict:
+    """Where a file was left: by its identity, else by its first bytes if their file is gone."""
+    before = start.get(file_id)
+    if before:
+        if _same(before, now):
+            return before
+    elif now["head"]:
+        for other, entry in sorted(start.items()):
+            left = other not in end or not _same(entry, end[other])
+            if left and len(entry["head"]) == 2 * _HEAD and _same(entry, now):
+                return entry
+    return {"pos": 0, "whole": True, "floor": 0}
+
+
+def _open(partition: ByteRange):
+    """The file with the expected first bytes: under its name, or renamed in its folder."""
+    head = bytes.fromhex(partition.head)
+    folder = os.path.dirname(partition.file) or "."
+    others = lambda: (entry.path for entry in os.scandir(folder) if entry.is_file())
+    for names in (lambda: [partition.file], others):
         try:
-            source = open(partition.file, "rb")
+            for name in names():
+                source = open(name, "rb")
+                if source.read(len(head)) == head and os.fstat(source.fileno()).st_size >= partition.stop:
+                    return source
+                source.close()
         except FileNotFoundError:
-            return
-        with source:
-            start = partition.start
-            if not partition.at_line_start:
-                source.seek(start - 1)
-                start += len(source.readline()) - 1
-            source.seek(start)
-            while start < partition.stop:
-                # Up to a few megabytes, and the last line begun in them to its end.
-                data = source.read(min(_READ, partition.stop - start))
-                if not data.endswith(b"\n"):
-                    data += source.readline()
-                whole = data[: data.rfind(b"\n") + 1]
-                if not whole:
-                    break
-                yield _batch(partition, start, whole)
-                start += len(whole)
-
-
-def _batch(partition: ByteRange, start: int, whole: bytes) -> pa.RecordBatch:
+            continue
+    return None
+
+
+def _line_start(source, at: int, floor: int) -> int:
+    """Where the line that holds byte ``at`` begins, not before ``floor``."""
+    for start, block in _blocks_backward(source, at, floor):
+        found = block.rfind(b"\n")
+        if found >= 0:
+            return start + found + 1
+    return floor
+
+
+def _parts(source, partition: ByteRange) -> Iterator[list[tuple[int, str]]]:
+    """Lines that end within the range, with their offsets, a few megabytes at a time."""
+    at, held = partition.start, []
+    begin = at if partition.at_line_start else None
+    step = _BLOCK if partition.kind == "head" else _READ
+    while at < partition.stop:
+        source.seek(at)
+        data = source.read(min(step, partition.stop - at))
+        if not data:
+            break
+        cut = data.rfind(b"\n") + 1
+        if cut:
+            if begin is None:  # only now is it known that a line ends here
+                begin = _line_start(source, partition.start, partition.floor)
+                source.seek(begin)
+                held.insert(0, source.read(partition.start - begin))
+            yield list(_lines(b"".join([*held, data[:cut]]), begin))
+            begin, held = at + cut, []
+        held.append(data[cut:])
+        at += len(data)
+    if partition.final:
+        if begin is None:
+            begin = _line_start(source, partition.start, partition.floor)
+            source.seek(begin)
+            held.insert(0, source.read(partition.start - begin))
+        rest = b"".join(held)
+        if rest:
+            yield [(begin, rest.decode("utf-8", "replace"))]
+
+
+def _lines(whole: bytes, start: int) -> Iterator[tuple[int, str]]:
+    """Lines of bytes that end with a line feed, with their offsets from ``start`` on."""
     pieces = whole[:-1].split(b"\n")
     sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) + 1
-    n = len(pieces)
+    offsets = start + np.cumsum(sizes) - sizes
+    return zip(offsets.tolist(), whole[:-1].decode("utf-8", "replace").split("\n"), strict=True)
+
+
+def last_lines(source, stop: int, n: int, final: bool) -> list[tuple[int, str]]:
+    """The last ``n`` non-blank lines before ``stop``, read backward in blocks.
+
+    An unfinished line counts if ``final``. The pieces of a line are joined once, when its
+    beginning is found.
+    """
+    found: list[tuple[int, str]] = []
+    pieces: list[bytes] = []  # of the line being read, the last one first
+    complete = final
+
+    def add(offset: int) -> None:
+        text = b"".join(reversed(pieces)).decode("utf-8", "replace")
+        pieces.clear()
+        if complete and text.strip(WHITE_SPACE):
+            found.append((offset, text))
+
+    for start, block in _blocks_backward(source, stop):
+        end = len(block)
+        while len(found) < n and (at := block.rfind(b"\n", 0, end)) >= 0:
+            pieces.append(block[at + 1 : end])
+            add(start + at + 1)
+            complete, end = True, at
+        if len(found) >= n:
+            break
+        pieces.append(block[:end])
+    else:
+        add(0)
+    return found[:n][::-1]
+
+
+def _batch(partition: ByteRange, lines: Iterable[tuple[int, str]], done: int, range_start: int) -> pa.RecordBatch:
+    shown = [(offset, line) for offset, line in lines if line.strip(WHITE_SPACE)]
+    offsets, values = zip(*shown, strict=True) if shown else ((), ())
+    return _rows(partition, range_start, offsets, range(done + 1, done + 1 + len(shown)), values)
+
+
+def _rows(partition: ByteRange, range_start: int, offsets, ordinals, values) -> pa.RecordBatch:
+    n = len(values)
     columns = [
-        [partition.file] * n,
-        np.full(n, partition.start),
-        start + np.cumsum(sizes) - sizes,
-        whole[:-1].decode("utf-8", "replace").split("\n"),
-    ]
+        [partition.file] * n, [partition.file_id] * n, [partition.kind] * n, [range_start] * n, offsets, ordinals, values]
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, field.type) for c, field in zip(columns, _SCHEMA)], schema=_SCHEMA
+        [pa.array(c, field.type) for c, field in zip(columns, _ARROW, strict=True)], schema=_ARROW
     )
 
 
-def _blocks_backward(source, stop: int) -> Iterator[tuple[int, bytes]]:
-    while stop > 0:
-        start = max(0, stop - _BLOCK)
+def _blocks_backward(source, stop: int, floor: int = 0) -> Iterator[tuple[int, bytes]]:
+    while stop > floor:
+        start = max(floor, stop - _BLOCK)
         source.seek(start)
         yield start, source.read(stop - start)
         stop = start
-
-
-def _after_last_newline(file: str) -> int:
-    """End of the last complete line; an unfinished line waits for its rest."""
-    with open(file, "rb") as source:
-        for start, block in _blocks_backward(source, os.path.getsize(file)):
-            at = block.rfind(b"\n")
-            if at >= 0:
-                return start + at + 1
-    return 0
-
-
-def _before_last_lines(file: str, n: int) -> int:
-    """Where the last ``n`` complete non-blank lines of a file begin."""
-    stop = _after_last_newline(file)
-    if n <= 0:
-        return stop
-    rest = b""
-    with open(file, "rb") as source:
-        for start, block in _blocks_backward(source, stop):
-            pieces = (block + rest).split(b"\n")
-            # The first piece may continue in the block before.
-            ends = start + len(pieces[0]) + 1
-            offsets = []
-            for piece in pieces[1:]:
-                if piece.decode("utf-8", "replace").strip(WHITE_SPACE):
-                    offsets.append(ends)
-                ends += len(piece) + 1
-            if len(offsets) >= n:
-                return offsets[-n]
-            rest = block + rest
-    return 0
