@@ -76,13 +76,14 @@ def csv_rows(entries: DataFrame) -> DataFrame:
     return csv_projection(entries).select(row.alias("value"))
 
 
-def preview(entries: DataFrame) -> DataFrame:
+def preview(entries: DataFrame, with_file: bool = False) -> DataFrame:
     """Rows for display: method and shortened path of a request, else a shortened message."""
     detail = F.when(
         F.col("method").isNotNull() & (F.col("method") != ""),
         truncate(F.nullif("path", F.lit("")), PATH_WIDTH),
     ).otherwise(truncate(F.col("message"), MESSAGE_WIDTH))
     return entries.select(
+        *(["file"] if with_file else []),
         F.col("line_number").alias("line"),
         display_time(F.col("timestamp")).alias("timestamp"),
         F.upper("level").alias("level"),

@@ -58,10 +58,11 @@ def tail_view(
     format: str = "custom",
     levels: Sequence[str] = (),
     highlight: str | None = None,
+    with_file: bool = False,
     **options,
 ) -> DataFrame:
     """Display rows of followed lines, with an optional level filter and marked matches."""
-    rows = preview(filter_logs(parse_logs(lines, format, **options), levels=levels))
+    rows = preview(filter_logs(parse_logs(lines, format, **options), levels=levels), with_file)
     if not highlight:
         return rows
     marked = {
@@ -200,7 +201,7 @@ def view_batches(
     """
 
     def show(numbered: DataFrame, batch_id: int) -> None:
-        handle(tail_view(numbered, format, levels, highlight, **options), batch_id)
+        handle(tail_view(numbered, format, levels, highlight, with_file=True, **options), batch_id)
 
     return number_batches(state_path, show, format)
 

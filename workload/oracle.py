@@ -147,6 +147,9 @@ shown AS (
     CASE WHEN format = 'nginx' THEN rt WHEN format = 'json' THEN nullif(rt, 0) END AS shown_rt
   FROM numbered WHERE ok OR format = 'custom')
 """
+VIEW_ROW = """upper(shown_level) AS level, CAST(shown_status AS DOUBLE) AS status, shown_method AS method,
+  CASE WHEN format <> 'custom' THEN path WHEN ok THEN words || ' ' || event_id ELSE 'corrupt ' || event_id END AS detail"""
+EARLY = "event_id % 2500 < 1300 AND log % 4 <> 3"
 FILE_REPORT = """log, format, n AS line_number, shown_level AS level, CAST(shown_status AS DOUBLE) AS status,
   shown_path AS path"""
 TEXT_LINES = f"""
@@ -320,4 +323,14 @@ ORACLE = {
         CASE WHEN format = 'custom' THEN words || ' ' || event_id
           ELSE replace(path, '/click', '<</click>>') END AS detail
         FROM shown WHERE shown_level IN ('error', 'warn')""",
+    "follow_late_file_stream": f"""{FILE_LINES} SELECT
+        CASE WHEN ok THEN strftime(t, '%Y-%m-%d %H:%M:%S') END AS timestamp, {VIEW_ROW}
+        FROM shown""",
+    "follow_backlog_stream": f"""{FILE_LINES}, seen AS (
+        SELECT *, count(*) FILTER ({EARLY}) OVER (PARTITION BY log) AS early FROM numbered)
+        SELECT log, n AS line, {VIEW_ROW}
+        FROM shown JOIN (SELECT event_id, early FROM seen) USING (event_id) WHERE NOT ({EARLY}) OR n > early - 10""",
+    "follow_rotation_stream": f"""{FILE_LINES}, seen AS (
+        SELECT event_id, row_number() OVER (PARTITION BY log, {EARLY} ORDER BY event_id) AS line FROM numbered)
+        SELECT log, line, {VIEW_ROW} FROM shown JOIN seen USING (event_id)""",
 }

@@ -1,6 +1,8 @@
 """One query per operator, over whole tables."""
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import logweir as lw
@@ -11,7 +13,7 @@ from logweir.operators.export import has_http
 from logweir.operators.stats import top_of
 from logweir.plans import filter_report, follow_report, parse_report, stats_report
 from logweir.session import cut_lineage, scratch_path
-from logweir.streaming import follow_lines, live_counts, number_batches
+from logweir.streaming import follow_lines, follow_rows, live_counts, number_batches, view_batches
 from workload import render as R
 
 SYSLOG_YEAR = 2024
@@ -410,8 +412,8 @@ def parquet_by_day(spark, sf_dir):
 # --- streams: run until all input present has been read, then show what was written ------
 
 
-def _drain(writer, name: str) -> None:
-    spark_checkpoint = scratch_path(SparkSession.active(), name)
+def _drain(writer, name: str, spark_checkpoint: str | None = None) -> None:
+    spark_checkpoint = spark_checkpoint or scratch_path(SparkSession.active(), name)
     run = writer.option("checkpointLocation", spark_checkpoint).trigger(availableNow=True)
     run.start().awaitTermination()
 
@@ -471,3 +473,62 @@ def follow_report_stream(spark, sf_dir):
     out = scratch_path(spark, "tail-view")
     _drain(rows.writeStream.format("parquet").option("path", out), "tail-checkpoint")
     return show(spark.read.parquet(out).drop("line"))
+
+
+@query
+def follow_late_file_stream(spark, sf_dir):
+    """Format told per file: some files are there at the start, some are empty then and filled
+    between two drains, some come between them. Each drain is a restart of the stream."""
+    lw.configure(spark)
+    rows, live = R.events_of_files(spark, sf_dir), scratch_path(spark, "late-files")
+    out, checkpoint = scratch_path(spark, "late-view"), scratch_path(spark, "late-checkpoint")
+    empty = rows.where("log % 4 = 1").withColumn("line", F.lit(None).cast("string"))
+    for present in (rows.where("log % 2 = 0").unionByName(empty), rows):
+        R.write_files(present, live)
+        shown = follow_report(spark, live, initial_lines="all", syslog_year=SYSLOG_YEAR)
+        _drain(shown.writeStream.format("parquet").option("path", out), "", checkpoint)
+    return show(spark.read.parquet(out).drop("line"))
+
+
+def _numbered_view(spark, live: str, **options) -> Callable[[], DataFrame]:
+    """Drains the display rows of a folder's files, with line numbers, at each call."""
+    out, state, checkpoint = (scratch_path(spark, f"view-{n}") for n in ("out", "state", "checkpoint"))
+
+    def keep(rows, batch_id):
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    def drain() -> DataFrame:
+        run = view_batches(state, keep, syslog_year=SYSLOG_YEAR)
+        _drain(follow_rows(spark, live, **options).writeStream.foreachBatch(run), "", checkpoint)
+        return spark.read.parquet(out)
+
+    return drain
+
+
+def _early() -> Column:
+    """Rows that are there when following begins; a quarter of the files has none."""
+    return F.expr(f"event_id % {R.FILE_ROWS} < {R.FILE_ROWS} * 0.52 AND log % 4 <> 3")
+
+
+@query
+def follow_backlog_stream(spark, sf_dir):
+    """The last 10 lines of each file and what is appended later, with their true numbers."""
+    lw.configure(spark)
+    rows, live = R.events_of_files(spark, sf_dir), scratch_path(spark, "backlog-files")
+    drain = _numbered_view(spark, live, initial_lines=10, range_bytes=64 << 10)
+    for present in (rows.where(_early()), rows):
+        R.write_files(present, live)
+        shown = drain()
+    return show(shown.select(R.log_of(F.col("file")).alias("log"), "line", "level", "status", "method", "detail"))
+
+
+@query
+def follow_rotation_stream(spark, sf_dir):
+    """Files that are renamed and begun anew between two drains: each line once."""
+    lw.configure(spark)
+    rows, live = R.events_of_files(spark, sf_dir), scratch_path(spark, "rotated-files")
+    drain = _numbered_view(spark, live, initial_lines="all")
+    for present, renamed in ((rows.where(_early()), False), (rows.where(~_early()), True)):
+        R.write_files(present, live, renamed)
+        shown = drain()
+    return show(shown.select(R.log_of(F.col("file")).alias("log"), "line", "level", "status", "method", "detail"))

@@ -4,6 +4,7 @@ The tables hold no log text. Each function adds a column ``line`` computed from
 the lines grow with the tables and the expected answer can be told from the source columns.
 """
 
+import os
 import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -223,6 +224,27 @@ def log_files(spark: SparkSession, sf_dir: str) -> str:
         return _written[key]
 
 
+def write_files(rows: DataFrame, folder: str, renamed: bool = False) -> None:
+    """Write the rows' lines to one growing file per log, each by a task, below a shared folder.
+
+    A file that is there gets its lines again and then those that are new, so a task may run
+    twice. With ``renamed``, a file that is there is moved aside first, as rotation does.
+    """
+
+    def write(frame):
+        frame = frame.sort_values("event_id")
+        path = f"{folder}/log={frame['log'].iloc[0]}.log"
+        os.makedirs(folder, exist_ok=True)
+        if renamed and os.path.exists(path) and not os.path.exists(path + ".1"):
+            os.rename(path, path + ".1")
+        with os.fdopen(os.open(path, os.O_RDWR | os.O_CREAT), "r+b") as out:
+            out.write("".join(line + "\n" for line in frame["line"].dropna()).encode())
+        return frame[["log"]].head(1)
+
+    lines = rows.select("log", "event_id", "line")
+    lines.groupBy("log").applyInPandas(write, "log bigint").count()
+
+
 def log_of(file: Column) -> Column:
     """Number of the file, from its path."""
     return F.regexp_extract(file, r"log=(\d+)", 1).cast("bigint")
