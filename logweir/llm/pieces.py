@@ -1,23 +1,26 @@
 """SentencePiece encoding and decoding: a relational lattice of pieces, folded word by word."""
 
 import heapq
+import json
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweir.session import cut_lineage
-
 from .text import let, whole
 
 SPACE = "▁"
 #: Words up to this length go through the lattice, whose state is the bits of a long.
 LATTICE_LETTERS = 62
 #: Bytes of text whose words form one vocabulary.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 12_000_000
+#: Partitions of distinct words for each block.
+WORD_PARTS = 8
 
 
 @dataclass(frozen=True)
@@ -65,22 +68,24 @@ def marked(text: Column) -> Column:
     return F.when(whole(text) == "", F.lit("")).otherwise(F.concat(F.lit(SPACE), F.translate(whole(text), " ", SPACE)))
 
 
-def lattice(words: DataFrame, table: PieceTable, keys: list[str]) -> DataFrame:
-    """Edges of each word: all its substrings that are pieces, as ``keys, n, edges``.
+def lattice(words: DataFrame, table: PieceTable, keys: list[str], carried: str) -> DataFrame:
+    """Edges of each word: all its substrings that are pieces, as ``keys, carried, n, edges``.
 
     Substrings of at most the longest piece's length are exploded and joined to the table. A
     single letter that is no piece is an edge too, with the ids of its bytes. Edges are
-    structs ``cost, start, size, ids`` in order; ``words`` should be partitioned by ``keys``
-    or some of them, then nothing is shuffled.
+    structs ``cost, start, size, ids`` in order; if ``words`` are partitioned by ``keys``
+    or some of them, nothing is shuffled. The column ``carried`` goes with a word's first letter.
     """
     spark = words.sparkSession
     pieces = F.broadcast(spark.createDataFrame(list(table.pieces), "piece string, id int, score double"))
     starts = F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start")
     longest = F.least(F.lit(table.longest), F.length("word") - F.col("start") + 1)
     parts = (
-        words.select(*keys, starts)
-        .select(*keys, "start", F.explode(F.sequence(F.lit(1), longest)).alias("size"))
-        .select(*keys, "start", "size", F.expr("substring(word, start, size)").alias("part"))
+        words.select(*keys, carried, starts)
+        .select(*keys, carried, "start", F.explode(F.sequence(F.lit(1), longest)).alias("size"))
+        .select(
+            *keys, F.when((F.col("start") == 1) & (F.col("size") == 1), F.col(carried)).alias(carried),
+            "start", "size", F.expr("substring(word, start, size)").alias("part"))
         .join(pieces, F.col("part") == F.col("piece"), "left")
         .filter("id IS NOT NULL OR size = 1")
     )
@@ -92,7 +97,9 @@ def lattice(words: DataFrame, table: PieceTable, keys: list[str]) -> DataFrame:
         F.coalesce(-F.col("score"), F.lit(float("inf"))).alias("cost"), (F.col("start") - 1).alias("start"), "size",
         F.when(F.col("id").isNull(), bytes_of).otherwise(F.array("id")).alias("ids"),
     )
-    return parts.groupBy(*keys).agg(F.sort_array(F.collect_list(edge)).alias("edges")).withColumn("n", F.length("word"))
+    return parts.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(edge)).alias("edges"), F.first(carried, ignorenulls=True).alias(carried)
+    ).withColumn("n", F.length("word"))
 
 
 def merge_edges(edges: Column, n: Column) -> Column:
@@ -166,53 +173,124 @@ def merged(word: str, ids: dict[str, int], scores: dict[str, float], first_byte:
     return [x for p in parts if p is not None for x in ([ids[p]] if p in ids else [first_byte + b for b in p.encode()])]
 
 
+def pack(ids: pa.Array, texts: pa.Array) -> bytes:
+    """Ids and texts as compressed columns."""
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([ids, texts], ["id", "text"])
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
+    with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(packed: pa.ChunkedArray) -> Iterator[pa.Table]:
+    for blob in packed:
+        yield pa.ipc.open_stream(blob.as_buffer()).read_all()
+
+
+def cut_words(text: str, cut: re.Pattern) -> list[str]:
+    return cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
+
+def vocabulary_of(tables: list[pa.Table], cut: re.Pattern, shares: int) -> dict[int, list[str]]:
+    """The distinct words of texts that go through the lattice, in order, by share (a hash)."""
+    found: set[str] = set()
+    for table in tables:
+        for text in table.column("text").to_pylist():
+            found.update(cut_words(text, cut))
+    out: dict[int, list[str]] = {}
+    for word in sorted(w for w in found if len(w) <= LATTICE_LETTERS):
+        out.setdefault(zlib.crc32(word.encode()) % shares, []).append(word)
+    return out
+
+
 def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, text_col, ids`` of each whole text, without begin or end.
 
-    Texts are dealt to blocks of bounded size. The distinct words of all blocks form the lattice,
-    each once; its edges are grouped by word and folded to ids, which a join brings to the
-    blocks that hold the word. Then a block's texts are written in ids, word by word. A word of more than 62 letters, whose lattice
-    would grow with its square, is merged by a heap while texts are written.
+    Texts are dealt to blocks of bounded size by a hash, compressed, and cross one shuffle. Each
+    block tells its distinct words, in lists by a hash of the word; where lists of the same hash
+    meet, each distinct word becomes a lattice once, its edges are grouped by word and folded to
+    ids, and the ids go back to the blocks in the order of their lists. Then a block's texts are
+    written in ids, word by word. A word of more than 62 letters, whose lattice would grow with
+    its square, is merged by a heap while texts are written.
 
     For BPE models the fold merges by rank, as Viterbi over the scores would not give the ids of
     such a model; for unigram models it is Viterbi.
 
     * A null or empty text has no ids; a null stays null. Repeated rows give repeated rows.
-    * Characters without a piece become the pieces of their bytes.
+    * Characters without a piece become the pieces of their bytes. A word of more than 62 letters
+      raises an error if the model is a unigram model.
     * An empty table gives no rows; other columns are not looked at.
     """
     id_type, spark = docs.schema[id_col].dataType.simpleString(), docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + size // BLOCK_BYTES
-    block = F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block")
-    dealt = rows.select(block, "id", "text").repartition(partitions_for(spark, blocks), "block")
-    words = dealt.select("block", F.explode(F.regexp_extract_all(marked(F.col("text")), F.lit(table.pattern), 0)).alias("word"))
-    words = cut_lineage(words.filter(F.length("word") <= LATTICE_LETTERS).distinct())
-    fold = merge_edges if table.merges else best_path
-    folded = lattice(words.select("word").distinct(), table, ["word"]).select("word", fold(F.col("edges"), F.col("n")).alias("ids"))
-    known = words.join(folded, "word").select(F.col("block").alias("known_block"), "word", "ids")
+    blocks = 2 + size // BLOCK_BYTES
+    parts = partitions_for(spark, blocks)
     pattern, merges = table.pattern, table.merges
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column(0).to_numpy()
+            order = np.argsort(block, kind="stable")
+            taken = batch.take(pa.array(order))
+            starts = np.flatnonzero(np.diff(block[order], prepend=-1))
+            ends = [*starts[1:].tolist(), len(order)]
+            blobs = [pack(taken.column(1)[a:b], taken.column(2)[a:b]) for a, b in zip(starts.tolist(), ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([taken.column(0).take(pa.array(starts)), pa.array(blobs, pa.binary())], ["block", "blob"])
+
+    block = F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block")
+    dealt = rows.select(block, "id", "text").mapInArrow(packed, "block int, blob binary").repartition(parts, "block")
+
+    # an edge takes many times the space of its word: partitions small enough to be sorted in memory
+    word_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), WORD_PARTS * blocks)
+    shares = 4 * word_parts
+
+    def tell(texts: pa.Table) -> pa.Table:
+        words = vocabulary_of(list(unpack(texts.column("blob"))), re.compile(pattern), shares)
+        return pa.table({
+            "share": pa.array(words, pa.int32()),
+            "block": pa.array([texts.column("block")[0].as_py()] * len(words), pa.int32()),
+            "words": pa.array([json.dumps(w, ensure_ascii=False) for w in words.values()], pa.string())})
+
+    told = dealt.groupBy("block").applyInArrow(tell, "share int, block int, words string").repartition(word_parts, "share")
+    words = told.select("share", "block", F.posexplode(F.from_json("words", "array<string>")).alias("place", "word"))
+    homes = words.groupBy("share", "word").agg(F.collect_list(F.struct("block", "place")).alias("homes"))
+    fold = merge_edges if merges else best_path
+    folded = lattice(homes, table, ["share", "word"], "homes").select("share", "homes", fold(F.col("edges"), F.col("n")).alias("ids"))
+    back = folded.select("share", F.explode("homes").alias("home"), "ids").select("share", "home.block", "home.place", "ids")
+    placed = back.groupBy("share", "block").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("placed"))
+    known = placed.select(
+        F.col("block").alias("known_block"), "share",
+        F.flatten(F.transform("placed", lambda w: w["ids"])).alias("ids"),
+        F.transform("placed", lambda w: F.size(w["ids"])).alias("sizes"),
+    )
     ids = {p: i for p, i, _ in table.pieces}
     scores = {p: s for p, _, s in table.pieces}
     first_byte = table.first_byte
 
     def write(texts: pa.Table, vocabulary: pa.Table) -> pa.Table:
         cut = re.compile(pattern)
-        held = vocabulary.column("ids").combine_chunks()
-        flat, ends = held.values.to_numpy(zero_copy_only=False), held.offsets.to_numpy()
-        known = {w: flat[a:b].tolist() for w, a, b in zip(vocabulary.column("word").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
-        lists: list[list[int]] = []
-        for text in texts.column("text").to_pylist():
-            out: list[int] = []
-            for word in cut.findall(SPACE + text.replace(" ", SPACE)) if text else ():
-                if (found := known.get(word)) is None:
-                    if not merges:
-                        raise ValueError("a word too long for the lattice of a unigram model")
-                    found = merged(word, ids, scores, first_byte)
-                out += found
-            lists.append(out)
-        return pa.table({"id": texts.column("id"), "text": texts.column("text"), "ids": pa.array(lists, pa.list_(pa.int32()))})
+        tables = list(unpack(texts.column("blob")))
+        lists: list[pa.Array] = []
+        words, known = vocabulary_of(tables, cut, shares), {}
+        for share, flat, sizes in zip(*(vocabulary.column(c).to_pylist() for c in ("share", "ids", "sizes")), strict=True):
+            ends = np.cumsum([0, *sizes]).tolist()
+            known |= {w: flat[a:b] for w, a, b in zip(words[share], ends[:-1], ends[1:], strict=True)}
+        for part in tables:
+            coded: list[list[int]] = []
+            for text in part.column("text").to_pylist():
+                out: list[int] = []
+                for word in cut_words(text, cut):
+                    if (found := known.get(word)) is None:
+                        if not merges:
+                            raise ValueError("a word too long for the lattice of a unigram model")
+                        found = merged(word, ids, scores, first_byte)
+                    out += found
+                coded.append(out)
+            lists.append(pa.array(coded, pa.list_(pa.int32())))
+        whole_part = pa.concat_tables(tables)
+        return whole_part.append_column("ids", pa.chunked_array(lists))
 
     written = dealt.groupBy("block").cogroup(known.groupBy("known_block")).applyInArrow(write, f"id {id_type}, text string, ids array<int>")
     return written.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "ids")
