@@ -25,3 +25,19 @@ def percent(part: Column, whole: Column) -> Column:
 
 def megabytes(size: Column) -> Column:
     return F.round(size / F.lit(1024.0 * 1024.0), 2)
+
+
+def plain_number(number: Column) -> Column:
+    """A double as JSON and people write it: 120, 12000000, 0.0001; with an exponent only from
+    1e21 on and below 1e-6."""
+    text = number.cast("string")
+    digits = F.when(F.abs(number) >= 1, text.try_cast("decimal(38,16)").cast("string")).otherwise(
+        text.try_cast("decimal(38,30)").cast("string")
+    )
+    decimal = F.regexp_replace(F.regexp_replace(digits, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    scaled = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\.0(?=E|$)", ""), "E-", "e-"), r"E(?=[0-9])", "e+")
+    return (
+        F.when(~text.contains("E"), F.regexp_replace(text, r"\.0$", ""))
+        .when((F.abs(number) >= 1e-6) & (F.abs(number) < 1e21), decimal)
+        .otherwise(scaled)
+    )

@@ -22,6 +22,9 @@ _OUTSIDE = {
     ".": f"[ -~[^{_class_body(LINE_BREAK_RUNS)}]]",
     "$": r"\z",
 }
+# What Java does not know: any character, no character, and a brace that begins no count.
+_ELSEWHERE = re.compile(r"\[\^\]|\[\]|\{(?!\d+(?:,\d*)?\})")
+_AS_JAVA = {"[^]": "(?s:.)", "[]": "(?!)", "{": r"\{"}
 _TOKEN = re.compile(r"\(\?<(?P<name>[A-Za-z_$][\w$]*)>|\\k<(?P<ref>[^>]+)>|\\.|\[\^?|\(\??|[\s\S]")
 
 
@@ -29,6 +32,10 @@ def _translate(pattern: str) -> tuple[str, dict[str, int]]:
     out, names, groups, in_class = [], {}, 0, False
     at = 0
     while at < len(pattern):
+        if not in_class and (other := _ELSEWHERE.match(pattern, at)):
+            out.append(_AS_JAVA[other.group()])
+            at = other.end()
+            continue
         token = _TOKEN.match(pattern, at)
         text = token.group()
         if in_class:
@@ -46,6 +53,8 @@ def _translate(pattern: str) -> tuple[str, dict[str, int]]:
             names[token["name"]] = groups
             out.append("(")
         elif token["ref"]:
+            if token["ref"] not in names:
+                raise ValueError(f"the pattern refers to the group {token['ref']} before it")
             out.append(f"\\{names[token['ref']]}")
         elif text.startswith("["):
             in_class = True

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweir.functions.numbers import plain_number
 from logweir.functions.text import csv_field, display_time, iso_time, truncate
 from logweir.patterns import MESSAGE_WIDTH, PATH_WIDTH
 
@@ -25,15 +26,17 @@ def json_projection(entries: DataFrame) -> DataFrame:
 def _json_text(entries: DataFrame) -> DataFrame:
     """Export columns packed as JSON text: absent fields are left out, an absent time is not."""
     packed = json_projection(entries)
-    rest = [name for name in packed.columns if name not in ("line", "timestamp")]
+    rest = [name for name in packed.columns if name not in ("line", "timestamp", "responseTime")]
     head = F.concat(
         F.lit('{"line":'), F.coalesce(F.col("line").cast("string"), F.lit("null")),
         F.lit(',"timestamp":'),
         F.coalesce(F.concat(F.lit('"'), "timestamp", F.lit('"')), F.lit("null")),
         F.lit(","),
     )
-    tail = F.to_json(F.struct(*rest))
-    return packed.select(F.concat(head, F.substring(tail, F.lit(2), F.length(tail))).alias("value"))
+    fields = F.to_json(F.struct(*rest))
+    time = F.coalesce(F.concat(F.lit(',"responseTime":'), plain_number(F.col("responseTime"))), F.lit(""))
+    tail = F.concat(F.substring(fields, F.lit(2), F.length(fields) - 2), time, F.lit("}"))
+    return packed.select(F.concat(head, tail).alias("value"))
 
 
 def json_rows(entries: DataFrame) -> DataFrame:
@@ -61,15 +64,10 @@ def csv_projection(entries: DataFrame) -> DataFrame:
 
 def csv_rows(entries: DataFrame) -> DataFrame:
     """One line of CSV text per entry; only path and message are ever quoted."""
-
-    def number(name: str) -> Column:
-        # 2.0 is written 2, as JSON and people write it.
-        return F.regexp_replace(F.col(name).cast("string"), r"\.0$", "")
-
     cells = {
         "path": csv_field(F.col("path")),
         "message": csv_field(F.col("message")),
-        "response_time": number("response_time"),
+        "response_time": plain_number(F.col("response_time")),
     }
     texts = [cells.get(name, F.col(name)).cast("string") for name in CSV_COLUMNS]
     row = F.concat_ws(",", *[F.coalesce(text, F.lit("")) for text in texts])
@@ -106,6 +104,14 @@ def stats_json(document: DataFrame) -> DataFrame:
     return document.select(packed.alias("value"))
 
 
+def filter_summary_json(summary: DataFrame) -> DataFrame:
+    """The counts of ``filter_summary`` as one JSON text; of no entries the percentage is NaN."""
+    share = F.coalesce(F.format_string("%.1f", F.col("percentage")), F.lit("NaN"))
+    share = F.when(F.col("percentage").isNull(), F.lit("NaN")).otherwise(share)
+    text = F.format_string('{"total":%d,"matched":%d,"percentage":"%s"}', F.col("total"), F.col("matched"), share)
+    return summary.select(text.alias("value"))
+
+
 def in_line_order(entries: DataFrame) -> DataFrame:
     """Sort by file and line over all output files."""
     return entries.repartitionByRange("file", "line_number").sortWithinPartitions(
@@ -121,6 +127,7 @@ def write_json(entries: DataFrame, path: str, ordered: bool = False, mode: str =
 def write_csv(entries: DataFrame, path: str, ordered: bool = False, mode: str = "error") -> None:
     """CSV with a header in every part file."""
     rows = csv_projection(in_line_order(entries) if ordered else entries)
+    rows = rows.withColumn("response_time", plain_number(F.col("response_time")))
     rows.write.mode(mode).csv(
         path,
         header=True,

@@ -24,7 +24,7 @@ def _with_offsets(blocks: DataFrame) -> DataFrame:
             F.sum("_count").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ).alias("_before"),
         F.sum("_count").over(Window.partitionBy("file")).alias("file_lines"),
-    ).drop("_count")
+    )
 
 
 def number_scanned(rows: DataFrame, with_totals: bool = False) -> DataFrame:
@@ -33,6 +33,8 @@ def number_scanned(rows: DataFrame, with_totals: bool = False) -> DataFrame:
 
     No line is shuffled: rows of a split follow each other within a task, so the ordinal in
     the split is a difference of ids. The scan runs twice, once to count and once to number.
+    If the second scan splits files or deals splits to tasks in another way, the ordinals of
+    some split leave the range that was counted, and the job fails.
     """
     blocks = cut_lineage(
         _with_offsets(
@@ -42,10 +44,10 @@ def number_scanned(rows: DataFrame, with_totals: bool = False) -> DataFrame:
         )
     )
     placed = attach(rows, blocks, ["file", "_block"], bounded_groups=True)
-    number = F.when(
-        F.col("_first").isNull(),
-        F.raise_error(F.lit("input files were split anew between counting and numbering")),
-    ).otherwise(F.col("_row") - F.col("_first") + F.col("_before") + 1)
+    within = F.col("_row") - F.col("_first")
+    number = F.when((within >= 0) & (within < F.col("_count")), within + F.col("_before") + 1).otherwise(
+        F.raise_error(F.lit("input files were split anew between counting and numbering"))
+    )
     return _finish(placed.withColumn("line_number", number.cast("bigint")), with_totals)
 
 

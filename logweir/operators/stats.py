@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from logweir.functions.levels import status_class
 from logweir.functions.numbers import percent
-from logweir.functions.text import hour_key, iso_time
+from logweir.functions.text import hour_key, iso_time, truncate
 from logweir.operators.ranks import rank_columns
-from logweir.patterns import TOP_ENTRIES
+from logweir.patterns import STATS_PATH_WIDTH, TOP_ENTRIES
 from logweir.session import cut_lineage
 
 PERCENTILES = {"p95_response_time": 95 / 100, "p99_response_time": 99 / 100}
@@ -211,6 +211,12 @@ def _top(entries: DataFrame, name: str, n: int) -> DataFrame:
     return counted.orderBy(F.desc("count"), "_first", name).limit(n).select(name, "count")
 
 
+def top_paths_view(entries: DataFrame, n: int = TOP_ENTRIES) -> DataFrame:
+    """The most frequent paths for display, each shortened to the width that reports have."""
+    shown = truncate(F.col("path"), STATS_PATH_WIDTH)
+    return top_paths(entries, n).select(shown.alias("path"), "count")
+
+
 def top_paths(entries: DataFrame, n: int = TOP_ENTRIES) -> DataFrame:
     """Most frequent paths; of equally frequent ones, the first seen."""
     return _top(entries, "path", n)

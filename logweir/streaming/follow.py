@@ -42,6 +42,14 @@ def follow_rows(
     return spark.readStream.format("log_follow").options(**options).load()
 
 
+def stream_folder(spark: SparkSession, path: str) -> DataFrame:
+    """Stream of the non-blank lines of text files that are dropped into a folder whole, on any
+    file system Spark reads. A file is read once; for files that grow there is :func:`follow_lines`."""
+    configure(spark)
+    rows = spark.readStream.option("lineSep", "\n").text(path).where(strip(F.col("value")) != "")
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.lit(None).cast("bigint").alias("line_number"), "value")
+
+
 def follow_lines(spark: SparkSession, path: str, initial_lines: int | str = FOLLOW_LINES, **options) -> DataFrame:
     """Stream of non-blank lines: first the last ``initial_lines`` of each file, then what is
     appended. Lines carry ``file_id``, ``byte_offset``, ``range_start`` and ``ordinal``;

@@ -147,6 +147,10 @@ shown AS (
     CASE WHEN format = 'nginx' THEN rt WHEN format = 'json' THEN nullif(rt, 0) END AS shown_rt
   FROM numbered WHERE ok OR format = 'custom')
 """
+LONG_PATHS = f"""{EVENTS}, longer AS (
+  SELECT *, path || repeat('/part-9', line_number % 17) AS long,
+    method || ' ' || path || ' HTTP/1.1' || repeat('/part-9', line_number % 17) AS said FROM base WHERE ok)
+"""
 VIEW_ROW = """upper(shown_level) AS level, CAST(shown_status AS DOUBLE) AS status, shown_method AS method,
   CASE WHEN format <> 'custom' THEN path WHEN ok THEN words || ' ' || event_id ELSE 'corrupt ' || event_id END AS detail"""
 EARLY = "event_id % 2500 < 1300 AND log % 4 <> 3"
@@ -333,4 +337,32 @@ ORACLE = {
     "follow_rotation_stream": f"""{FILE_LINES}, seen AS (
         SELECT event_id, row_number() OVER (PARTITION BY log, {EARLY} ORDER BY event_id) AS line FROM numbered)
         SELECT log, line, {VIEW_ROW} FROM shown JOIN seen USING (event_id)""",
+    "stream_folder_levels": f"{FILE_LINES} SELECT log, count(*) AS lines FROM numbered GROUP BY 1",
+    "json_sink": f"""{EVENTS} SELECT '{{"line":' || line_number || ',"timestamp":"' || {ISO} || '","level":"' || status_level
+        || '","message":"' || method || ' ' || path || ' HTTP/1.1","source":"nginx","ip":"' || ip || '","method":"' || method
+        || '","path":"' || path || '","status":' || status || ',"size":' || size || ',"responseTime":'
+        || CASE WHEN rt = 0 THEN '0' ELSE CAST(rt AS VARCHAR) END || '}}' AS value FROM base WHERE ok""",
+    "csv_sink": f"""{EVENTS} SELECT line_number || ',' || {ISO} || ',' || status_level || ',' || status || ',' || method || ','
+        || path || ',' || method || ' ' || path || ' HTTP/1.1,' || ip || ','
+        || coalesce(CAST(nullif(size, 0) AS VARCHAR), '') || ',' || coalesce(CAST(nullif(rt, 0) AS VARCHAR), '') AS value
+        FROM base WHERE ok""",
+    "stats_json_text": f"""{EVENTS}, paths AS (
+        SELECT path, count(*) AS c FROM base WHERE ok GROUP BY 1 ORDER BY c DESC, min(line_number), 1 LIMIT 1),
+        ips AS (SELECT ip FROM base WHERE ok GROUP BY 1 ORDER BY count(*) DESC, min(line_number), 1 LIMIT 1 OFFSET 2)
+        SELECT CAST(count(*) AS VARCHAR) AS total_lines, CAST(CAST(sum(size) FILTER (ok) AS BIGINT) AS VARCHAR) AS total_bytes,
+          strftime(min(t) FILTER (ok), '%Y-%m-%dT%H:%M:%S') || '.000Z' AS first,
+          CAST(count(*) FILTER (ok AND status_level = 'info') AS VARCHAR) AS infos,
+          CAST(count(*) FILTER (ok AND status // 100 = 2) AS VARCHAR) AS found,
+          CAST(count(*) FILTER (ok AND method = 'PUT') AS VARCHAR) AS puts,
+          (SELECT path FROM paths) AS path, (SELECT CAST(c AS VARCHAR) FROM paths) AS path_count, (SELECT ip FROM ips) AS third_ip
+        FROM base""",
+    "filter_summary_text": f"""{EVENTS}, c AS (SELECT count(*) AS total,
+        count(*) FILTER (status IN (404, 500) AND path LIKE '%/click/%') AS matched FROM base WHERE ok)
+        SELECT '{{"total":' || total || ',"matched":' || matched || ',"percentage":"'
+          || printf('%.1f', round(100.0 * matched / total, 1)) || '"}}' AS value FROM c""",
+    "preview_cut": f"""{LONG_PATHS} SELECT line_number AS line, CASE WHEN line_number % 2 = 0 THEN method END AS method,
+        CASE WHEN line_number % 2 = 0 THEN CASE WHEN length(long) > 40 THEN left(long, 37) || '...' ELSE long END
+          ELSE CASE WHEN length(said) > 80 THEN left(said, 77) || '...' ELSE said END END AS detail FROM longer""",
+    "top_paths_cut": f"""{LONG_PATHS} SELECT CASE WHEN length(long) > 35 THEN left(long, 32) || '...' ELSE long END AS path, count
+        FROM (SELECT long, count(*) AS count FROM longer GROUP BY 1 ORDER BY count DESC, min(line_number), 1 LIMIT 50)""",
 }

@@ -13,7 +13,7 @@ from logweir.operators.export import has_http
 from logweir.operators.stats import top_of
 from logweir.plans import filter_report, follow_report, parse_report, stats_report
 from logweir.session import cut_lineage, scratch_path
-from logweir.streaming import follow_lines, follow_rows, live_counts, number_batches, view_batches
+from logweir.streaming import follow_lines, follow_rows, live_counts, number_batches, stream_folder, view_batches
 from workload import render as R
 
 SYSLOG_YEAR = 2024
@@ -532,3 +532,67 @@ def follow_rotation_stream(spark, sf_dir):
         R.write_files(present, live, renamed)
         shown = drain()
     return show(shown.select(R.log_of(F.col("file")).alias("log"), "line", "level", "status", "method", "detail"))
+
+
+@query
+def stream_folder_levels(spark, sf_dir):
+    """Text files dropped into a folder, read as a stream; levels of the parsed lines."""
+    out = scratch_path(spark, "dropped")
+    rows = stream_folder(spark, R.log_files(spark, sf_dir))
+    _drain(lw.parse_logs(rows, "custom").writeStream.format("parquet").option("path", out), "dropped-checkpoint")
+    shown = spark.read.parquet(out)
+    return shown.groupBy(R.log_of(F.col("file")).alias("log")).agg(F.count("*").alias("lines"))
+
+
+# --- sinks: written, and read back as text -----------------------------------------------
+
+
+@query
+def json_sink(spark, sf_dir):
+    out = scratch_path(spark, "json-sink")
+    lw.write_json(access(spark, sf_dir), out, ordered=True)
+    return spark.read.text(out)
+
+
+@query
+def csv_sink(spark, sf_dir):
+    out = scratch_path(spark, "csv-sink")
+    lw.write_csv(access(spark, sf_dir), out)
+    return spark.read.text(out).where(~F.col("value").startswith("line,timestamp,"))
+
+
+@query
+def stats_json_text(spark, sf_dir):
+    """The statistics document as JSON text, and figures found in it."""
+    text = lw.stats_json(lw.stats_document(cut_lineage(lw.tally(parsed_access(spark, sf_dir)))))
+    found = {
+        "total_lines": "$.total_lines", "total_bytes": "$.total_bytes", "first": "$.time_range.from",
+        "infos": "$.level_distribution.info", "found": "$.status_distribution.2xx", "puts": "$.method_distribution.PUT",
+        "path": "$.top_paths[0].path", "path_count": "$.top_paths[0].count", "third_ip": "$.top_ips[2].ip",
+    }
+    return text.select(*[F.get_json_object("value", place).alias(name) for name, place in found.items()])
+
+
+@query
+def filter_summary_text(spark, sf_dir):
+    return lw.filter_summary_json(lw.filter_summary(access(spark, sf_dir), statuses=[404, 500], contains="/click/"))
+
+
+def _long(spark, sf_dir) -> DataFrame:
+    """Entries whose paths and messages are from 5 to 120 characters long."""
+    tail = F.repeat(F.lit("/part-9"), (F.col("line_number") % 17).cast("int"))
+    rows = access(spark, sf_dir).withColumn("path", F.concat("path", tail))
+    rows = rows.withColumn("message", F.concat("message", tail))
+    return rows.withColumn("method", F.when(F.col("line_number") % 2 == 0, F.col("method")))
+
+
+@query
+def preview_cut(spark, sf_dir):
+    """Paths cut at 40 characters and messages at 80."""
+    return lw.preview(_long(spark, sf_dir)).select("line", "method", "detail")
+
+
+@query
+def top_paths_cut(spark, sf_dir):
+    """The 50 most frequent long paths, cut at 35 characters for display."""
+    return lw.top_paths_view(_long(spark, sf_dir), 50)
