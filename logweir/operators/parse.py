@@ -165,7 +165,6 @@ def _entry_columns(
         possible.append("json")
         kind = F.when(F.col("_json").isNotNull(), "json").otherwise(kind)
     json = JsonLine(raw, F.col("_json"))
-    json = JsonLine(raw, F.col("_json"))
     json_texts = json.text_columns() if "json" in formats else []
     offset = access_offset_text(slot["time"]) if honor_offset else None
     access_at = access_time(F.col("_date"), offset)
