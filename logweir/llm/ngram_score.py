@@ -4,20 +4,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
+import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweir.session import cut_lineage
-
 from .elias_fano import EliasFano, mapped
-from .text import ascii_lower, whole, words_of
+from .text import whole
 
-#: Hashes that stand for the begin and the end of a text.
-BEGIN, END = 0x6265676E, 0x656E6421
-#: Tokens cut up in one go, bytes of text per shard, tokens looked up in one go.
-TOGETHER, SHARD_BYTES, AT_ONCE = 1_000_000, 8_000_000, 250_000
+#: The token that ends a text: no word is empty. The hash that stands for the begin of a text.
+END, BEGIN = b"", 0x6265676E
+#: Bytes of text cut up in one go and per shard, tokens looked up in one go.
+TOGETHER, SHARD_BYTES, AT_ONCE = 8_000_000, 12_000_000, 250_000
+#: Distinct words that a counting task holds before it hands them on.
+HELD_WORDS = 1_000_000
+#: A word is common if it has at least one in so many bytes of text. A token takes two bytes
+#: or more, so that there are at most half as many common words, whatever the text.
+COMMON_SHARE = 4_000_000
 #: Steps per halving of a quantised probability.
 STEPS = 1024
 
@@ -75,36 +79,116 @@ class Trie:
         return p
 
 
-def _cut(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[tuple]:
-    """Rows of a batch in groups of about :data:`TOGETHER` tokens, with shard and u, v, w of each token."""
+def hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows in groups of about :data:`TOGETHER` bytes of text: the rows without their texts, the
+    row of each token, the words before it (u, v) and itself (w) as places in hashes, the hashes."""
     for batch in batches:
-        lists = batch.column("words")
-        flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+        texts = batch.column("text").cast(pa.binary())
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + TOGETHER, "right")) - 1)
-            w, lengths = flat[ends[at] : ends[to]], np.diff(ends[at : to + 1])
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, "right")))
+            flat: list[bytes] = []
+            lengths = np.zeros(to - at, np.int64)
+            for i, text in enumerate(texts[at:to].to_pylist()):
+                found = text.lower().split()
+                flat += found
+                flat.append(END)
+                lengths[i] = len(found) + 1
+            coded = pa.array(flat, pa.binary()).dictionary_encode()
+            del flat
+            hashes = np.append(hashed(coded.dictionary.to_pylist()), BEGIN)
+            w = coded.indices.to_numpy()
             row = np.repeat(np.arange(to - at), lengths)
-            place = np.arange(len(w)) - np.repeat(ends[at:to] - ends[at], lengths)
+            place = np.arange(len(w)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             v, u = np.roll(w, 1), np.roll(w, 2)
-            v[place < 1], u[place < 2] = BEGIN, BEGIN
-            spread = v.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            yield batch.slice(at, to - at), row, u, v, w, ((spread >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+            v[place < 1], u[place < 2] = len(hashes) - 1, len(hashes) - 1
+            yield batch.slice(at, to - at).drop_columns("text"), row, u, v, w, hashes
             at = to
 
 
-def _packed(u: np.ndarray, v: np.ndarray, w: np.ndarray, row: np.ndarray) -> bytes:
-    words, codes = np.unique(np.concatenate([u, v, w]), return_inverse=True)
-    steps = np.concatenate([codes, np.diff(row, prepend=0)]).astype(np.uint32)
-    planes = steps.view(np.uint8).reshape(-1, 4).T.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(np.int64(len(words)).tobytes() + words.tobytes() + planes)
+class Common:
+    """Common words by falling frequency, as codes from 0, with their counts; the begin has one too."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray) -> None:
+        order = np.lexsort((words, -counts))
+        words, self.counts = np.append(words[order], BEGIN), np.append(counts[order], 0)
+        self.code = np.argsort(words)
+        self.words = words[self.code]
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        """The code of each word; -1 for the others."""
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self) - 1)
+        return np.where(self.words[at] == hashes, self.code[at], -1)
 
 
-def _unpacked(held: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
+    spread = hashes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((spread >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+
+
+def _packed(tokens: np.ndarray, begins: np.ndarray, code: np.ndarray, hashes: np.ndarray, common: int) -> bytes:
+    """u, v and w in byte planes: codes of common words, then places in a list of the other words."""
+    values = code[tokens]
+    other, at = np.unique(tokens[values < 0], return_inverse=True)
+    values[values < 0] = common + at
+    planes = values.astype(np.uint32).view(np.uint8).reshape(3, -1, 4).transpose(0, 2, 1).tobytes()
+    raw = np.int64(len(other)).tobytes() + hashes[other].tobytes() + planes + begins.astype(np.uint8).tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def _unpacked(held: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(held)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    planes = np.frombuffer(raw, np.uint8, offset=8 + 8 * n).reshape(4, -1)
-    return np.frombuffer(raw, np.int64, n, 8), np.ascontiguousarray(planes.T).view(np.uint32).reshape(4, -1).astype(np.int64)
+    body = np.frombuffer(raw, np.uint8, offset=8 + 8 * n).reshape(13, -1)
+    values = np.ascontiguousarray(body[:12].reshape(3, 4, -1).transpose(0, 2, 1)).view(np.uint32).reshape(3, -1)
+    return np.frombuffer(raw, np.int64, n, 8), values, body[12]
+
+
+def count_words(rows: DataFrame, least: int) -> tuple[int, int, Common]:
+    """Training tokens, distinct ones, and the words with at least ``least``.
+
+    A task adds up its own words, one shuffle the rest. The driver gets the common words and
+    two numbers from each task.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, n = np.empty(0, np.int64), np.empty(0, np.int64)
+        told = lambda: pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], ["word", "n"])
+        for part, row, _, _, w, hashes in _cut(batches):
+            kept = part.column("learned").to_numpy(zero_copy_only=False)[row]
+            own = np.bincount(w, kept, len(hashes)).astype(np.int64)
+            words, at = np.unique(np.concatenate([words, hashes[own > 0]]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, own[own > 0]]), len(words)).astype(np.int64)
+            if len(words) > HELD_WORDS:
+                yield told()
+                words, n = words[:0], n[:0]
+        yield told()
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = distinct = 0
+        for batch in batches:
+            total, distinct = total + (pc.sum(batch.column("n")).as_py() or 0), distinct + batch.num_rows
+            many = batch.filter(pc.greater_equal(batch.column("n"), least))
+            yield pa.RecordBatch.from_arrays([*many.columns, pa.nulls(many.num_rows, pa.int64())], ["word", "n", "distinct"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total]), pa.array([distinct])], ["word", "n", "distinct"])
+
+    sums = rows.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = sums.mapInArrow(chosen, "word long, n long, distinct long").toArrow()
+    is_sum = pc.is_null(found.column("word"))
+    numbers, words = found.filter(is_sum), found.filter(pc.invert(is_sum))
+    return (
+        pc.sum(numbers.column("n")).as_py() or 0,
+        pc.sum(numbers.column("distinct")).as_py() or 0,
+        Common(words.column("word").to_numpy().astype(np.int64), words.column("n").to_numpy().astype(np.int64)),
+    )
 
 
 def score_texts(
@@ -118,85 +202,110 @@ def score_texts(
 
     Tokens go to shards by the word before them, packed as codes. A task has all training and
     all scored tokens of its shard: it builds the shard's trie in mapped files, looks every
-    token up, and gives sums per text. Counts of single words reach a shard by a join with the
-    words it holds. The number of shards grows with the text, and so do all counts.
+    token up, and gives sums per text, in lists by a hash of the text. Counts of common words,
+    whose number is bounded by a share of the text, are known to all tasks; counts of all others
+    reach a shard by a shuffle of the words it holds. The number of shards grows with the text,
+    and so do all counts.
 
-    Words are told apart by 64-bit hashes. One word before a large share of all tokens makes
-    one large shard; it is not split.
+    Words are told apart by 64-bit hashes, rows by id and a hash of 32 bits of id and text. One
+    word before a large share of all tokens makes one large shard; it is not split.
 
     * A null text is empty: its one token is the end. A null in ``learn_from`` is false.
     * Rows equal in id and text are scored alike and each returned; each counts in training.
     * Without training rows all tokens are unknown. An empty table gives no rows.
     * Columns but the two, and those of ``learn_from``, are not looked at.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
+    id_type, spark = docs.schema[id_col].dataType.simpleString(), docs.sparkSession
     text = whole(F.col(text_col))
     rows = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.coalesce(learn_from, F.lit(False)).alias("learned"),
-        F.concat(F.transform(words_of(ascii_lower(text)), lambda w: F.xxhash64(w)), F.array(F.lit(END).cast("long"))).alias("words"),
+        F.col(id_col).alias("id"), F.hash(F.col(id_col), text).alias("name"),
+        F.coalesce(learn_from, F.lit(False)).alias("learned"), text.alias("text"),
     )
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = int(1 + size // SHARD_BYTES)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total, distinct, common = count_words(rows, int(1 + size // COMMON_SHARE))
 
-    def held_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, row, _, _, w, shard in _cut(batches, shards):
-            words, code = np.unique(w, return_inverse=True)
-            kept = part.column("learned").to_numpy(zero_copy_only=False)[row]
-            cells, at = np.unique(shard * len(words) + code, return_inverse=True)
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, row, _, v, w, hashes in _cut(batches):
+            asked = np.flatnonzero((common.codes(hashes) < 0)[w])
+            kept = part.column("learned").to_numpy(zero_copy_only=False)[row[asked]]
+            n = len(hashes)
+            cells, at = np.unique(_shard(hashes, shards)[v[asked]] * n + w[asked], return_inverse=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cells // len(words), pa.int32()), pa.array(words[cells % len(words)]),
+                [pa.array(cells // n, pa.int32()), pa.array(hashes[cells % n]),
                  pa.array(np.bincount(at, kept, len(cells)).astype(np.int64))], ["shard", "word", "n"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, row, u, v, w, shard in _cut(batches, shards):
+        for part, row, u, v, w, hashes in _cut(batches):
+            code, n = common.codes(hashes), part.num_rows
+            shard = _shard(hashes, shards)[v]
             order = np.argsort(shard, kind="stable")
+            cell = shard[order] * n + row[order]
+            begins = np.diff(cell, prepend=-1) != 0
+            cells = cell[begins]
             present, starts = np.unique(shard[order], return_index=True)
-            for s, at in zip(present.tolist(), np.split(order, starts[1:]), strict=True):
-                texts, local = np.unique(row[at], return_inverse=True)
-                taken = part.select(["id", "text_hash", "learned"]).take(pa.array(texts))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s], pa.int32()), *[pa.array([c.to_pylist()], pa.list_(c.type)) for c in taken.columns],
-                     pa.array([_packed(u[at], v[at], w[at], local)], pa.binary())],
-                    ["shard", "ids", "hashes", "learned", "tokens"])
-
-    held = cut_lineage(rows.mapInArrow(held_words, "shard int, word long, n long").groupBy("shard", "word").agg(F.sum("n").alias("n")))
-    counts = cut_lineage(held.groupBy("word").agg(F.sum("n").alias("count")))
-    total, distinct = counts.agg(F.sum("count"), F.count_if(F.col("count") > 0)).first()
-    total, distinct = int(total or 0), int(distinct)
-    known = held.select("shard", "word").join(counts, "word").select(F.col("shard").alias("at"), "word", "count")
-    packed = rows.mapInArrow(pack, f"shard int, ids array<{id_type}>, hashes array<bigint>, learned array<boolean>, tokens binary")
+            tokens = np.stack([u[order], v[order], w[order]])
+            bounds = [*starts.tolist(), len(order)]
+            blobs = [_packed(tokens[:, a:b], begins[a:b], code, hashes, len(common)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            offsets = pa.array([*np.searchsorted(cells, present * n).tolist(), len(cells)], pa.int32())
+            taken = part.take(pa.array(cells % n))
+            lists = [pa.ListArray.from_arrays(offsets, c) for c in taken.columns]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(present, pa.int32()), *lists, pa.array(blobs, pa.binary())], ["shard", "ids", "names", "learned", "tokens"])
+
+    held = rows.mapInArrow(others, "shard int, word long, n long").repartition("word").groupBy("word", "shard").agg(F.sum("n").alias("n"))
+    known = held.select(F.col("shard").alias("at"), "word", F.sum("n").over(Window.partitionBy("word")).alias("count")).filter("count > 0")
+    packed = rows.mapInArrow(pack, f"shard int, ids array<{id_type}>, names array<int>, learned array<boolean>, tokens binary")
 
     def score(tokens: pa.Table, facts: pa.Table) -> pa.Table:
         parts = [_unpacked(t) for t in tokens.column("tokens").to_pylist()]
-        words = np.unique(np.concatenate([p[0] for p in parts]))
-        u, v, w, row = (np.concatenate(x) for x in zip(*[
-            [*(np.searchsorted(words, own)[codes[:3]]), np.cumsum(codes[3])] for own, codes in parts], strict=True))
-        sizes = pa.compute.list_value_length(tokens.column("ids")).to_numpy()
-        row += np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), [p[1].shape[1] for p in parts])
-        ids, hashes, learned = (pa.compute.list_flatten(tokens.column(c)) for c in ("ids", "hashes", "learned"))
-        count = np.zeros(len(words), np.int64)
-        count[np.searchsorted(words, facts.column("word").to_numpy())] = facts.column("count").to_numpy()
-        alone = (count + 0.5) / (total + 0.5 * (distinct + 1))
+        other = np.unique(np.concatenate([p[0] for p in parts]))
+        count = np.concatenate([common.counts, np.zeros(len(other), np.int64)])
+        words, n = facts.column("word").to_numpy(), facts.column("count").to_numpy()
+        if len(other):
+            at = np.minimum(np.searchsorted(other, words), len(other) - 1)
+            count[len(common) + at[other[at] == words]] = n[other[at] == words]
+        place = [np.concatenate([np.arange(len(common)), len(common) + np.searchsorted(other, own)]) for own, _, _ in parts]
+        end = int(common.codes(hashed([END]))[0])
+        end = end if end >= 0 else len(common) + int(np.searchsorted(other, hashed([END]))[0])
+        u, v, w = (np.concatenate([p[values[i]] for p, (_, values, _) in zip(place, parts, strict=True)]) for i in range(3))
+        row = np.cumsum(np.concatenate([begins for _, _, begins in parts]), dtype=np.int64) - 1
+        del parts, place
+        is_end, n_known = w == end, count[w] > 0
+        seen = np.zeros(len(count), bool)
+        for x in (u, v, w):
+            seen[x] = True
+        compact = np.cumsum(seen) - 1
+        u, v, w = compact[u], compact[v], compact[w]
+        alone = (count[seen] + 0.5) / (total + 0.5 * (distinct + 1))
+        ids, names, learned = (pc.list_flatten(tokens.column(c)).combine_chunks() for c in ("ids", "names", "learned"))
         kept = learned.to_numpy(zero_copy_only=False)[row]
-        trie = Trie(u[kept], v[kept], w[kept], len(words), discount)
+        trie = Trie(u[kept], v[kept], w[kept], len(alone), discount)
         p = np.concatenate([
             trie.probability(u[i : i + AT_ONCE], v[i : i + AT_ONCE], w[i : i + AT_ONCE], alone[w[i : i + AT_ONCE]])
             for i in range(0, len(w), AT_ONCE)
         ])
-        summed = lambda x: np.bincount(row, x, len(ids))
-        whole_sum = lambda x: pa.array(summed(x).astype(np.int64))
-        end = np.searchsorted(words, END)
-        is_end = w == end if end < len(words) and words[end] == END else np.zeros(len(w), bool)
-        return pa.table({
-            "id": ids, "text_hash": hashes, "learned": learned, "n_tokens": whole_sum(np.ones(len(w))),
-            "n_known": whole_sum(count[w] > 0), "ends": whole_sum(is_end),
-            "base_score": summed(np.log10(alone)[w]), "score": summed(np.log10(p)),
-        })
-
-    sums = packed.groupBy("shard").cogroup(known.groupBy("at")).applyInArrow(
-        score, f"id {id_type}, text_hash long, learned boolean, n_tokens long, n_known long, ends long, base_score double, score double")
-    of_text = sums.groupBy("id", "text_hash", "learned").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "ends", "base_score", "score")])
+        bucket = names.to_numpy().astype(np.int64) % buckets
+        order = np.argsort(bucket, kind="stable")
+        present, starts = np.unique(bucket[order], return_index=True)
+        offsets = pa.array([*starts.tolist(), len(order)], pa.int32())
+        summed = lambda x: np.bincount(row, x, len(ids))[order]
+        whole_sum = lambda x: pa.array(summed(x).astype(np.int32))
+        out = {
+            "ids": ids.take(pa.array(order)), "names": names.take(pa.array(order)), "learned": learned.take(pa.array(order)),
+            "n_tokens": whole_sum(None), "n_known": whole_sum(n_known), "ends": whole_sum(is_end),
+            "base": pa.array(summed(np.log10(alone)[w])), "score": pa.array(summed(np.log10(p))),
+        }
+        return pa.table({"bucket": pa.array(present, pa.int32()), **{c: pa.ListArray.from_arrays(offsets, x) for c, x in out.items()}})
+
+    numbers = ["n_tokens", "n_known", "ends", "base", "score"]
+    sums = packed.groupBy("shard").cogroup(known.groupBy("at")).applyInArrow(score, (
+        f"bucket int, ids array<{id_type}>, names array<int>, learned array<boolean>, n_tokens array<int>, "
+        "n_known array<int>, ends array<int>, base array<double>, score array<double>"))
+    each = sums.repartition("bucket").select("bucket", F.explode(F.arrays_zip("ids", "names", "learned", *numbers)).alias("r"))
+    of_text = each.groupBy("bucket", "r.ids", "r.names", "r.learned").agg(*[F.sum(F.col("r")[c]).alias(c) for c in numbers])
     share = lambda c: (F.col(c) / F.col("ends")).cast("long").alias(c)
     return of_text.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("ends")))).select(
-        F.col("id").alias(id_col), "learned", share("n_tokens"), share("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_score") / F.col("ends")).alias("base_score"), (F.col("score") / F.col("ends")).alias("score"))
+        F.col("ids").alias(id_col), "learned", share("n_tokens"), share("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") / F.col("ends")).alias("base_score"), (F.col("score") / F.col("ends")).alias("score"))
