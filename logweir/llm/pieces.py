@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ LATTICE_LETTERS = 62
 BLOCK_BYTES = 12_000_000
 #: Partitions of distinct words for each block.
 WORD_PARTS = 8
+#: Bytes of text cut in one go.
+TOGETHER = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -36,6 +39,11 @@ class PieceTable:
     def longest(self) -> int:
         return max(len(p) for p, _, _ in self.pieces)
 
+    @property
+    def pairs(self) -> frozenset[str]:
+        """Neighbouring letters within a piece. No piece crosses a place between two others."""
+        return frozenset(p[i : i + 2] for p, _, _ in self.pieces for i in range(len(p) - 1))
+
     @property
     def pattern(self) -> str:
         """Words: stretches that no piece crosses, as spaces stand only in front of pieces."""
@@ -72,34 +80,36 @@ def lattice(words: DataFrame, table: PieceTable, keys: list[str], carried: str)
     """Edges of each word: all its substrings that are pieces, as ``keys, carried, n, edges``.
 
     Substrings of at most the longest piece's length are exploded and joined to the table. A
-    single letter that is no piece is an edge too, with the ids of its bytes. Edges are
-    structs ``cost, start, size, ids`` in order; if ``words`` are partitioned by ``keys``
-    or some of them, nothing is shuffled. The column ``carried`` goes with a word's first letter.
+    single letter that is no piece is an edge too, whose id is its code point, negative and
+    less one. Edges are structs in order of ``cost, start, size``, with the bits of the places
+    they join (``ends``) and of those between (``inner``). Rows of a word are told by a number
+    that falls in the order they come in, so that grouping finds them sorted; if ``words`` are
+    partitioned by ``keys``, nothing is shuffled. ``carried`` goes with a word's first letter.
     """
     spark = words.sparkSession
     pieces = F.broadcast(spark.createDataFrame(list(table.pieces), "piece string, id int, score double"))
-    starts = F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start")
-    longest = F.least(F.lit(table.longest), F.length("word") - F.col("start") + 1)
+    at_first = lambda c: F.when((F.col("start") == 0) & (F.col("size") == 1), F.col(c)).alias(c)
+    longest = F.least(F.lit(table.longest), F.length("word") - F.col("start"))
     parts = (
-        words.select(*keys, carried, starts)
-        .select(*keys, carried, "start", F.explode(F.sequence(F.lit(1), longest)).alias("size"))
+        words.withColumn("_nth", F.monotonically_increasing_id())
+        .select("_nth", *keys, carried, "word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
+        .select("_nth", *keys, carried, "word", "start", F.explode(F.sequence(F.lit(1), longest)).alias("size"))
         .select(
-            *keys, F.when((F.col("start") == 1) & (F.col("size") == 1), F.col(carried)).alias(carried),
-            "start", "size", F.expr("substring(word, start, size)").alias("part"))
+            "_nth", *keys, at_first(carried), F.when((F.col("start") == 0) & (F.col("size") == 1), F.length("word")).alias("n"),
+            "start", "size", F.expr("substring(word, start + 1, size)").alias("part"))
         .join(pieces, F.col("part") == F.col("piece"), "left")
         .filter("id IS NOT NULL OR size = 1")
     )
-    bytes_of = F.transform(
-        F.regexp_extract_all(F.hex(F.encode("part", "utf-8")), F.lit(".."), 0),
-        lambda h: F.conv(h, 16, 10).cast("int") + table.first_byte,
-    )
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at)
+    end = F.col("start") + F.col("size")
     edge = F.struct(
-        F.coalesce(-F.col("score"), F.lit(float("inf"))).alias("cost"), (F.col("start") - 1).alias("start"), "size",
-        F.when(F.col("id").isNull(), bytes_of).otherwise(F.array("id")).alias("ids"),
+        F.coalesce(-F.col("score"), F.lit(float("inf"))).alias("cost"), "start", "size",
+        bit(F.col("start")).bitwiseOR(bit(end)).alias("ends"), (bit(end) - bit(F.col("start") + 1)).alias("inner"),
+        F.coalesce("id", -F.ascii("part") - 1).alias("id"),
     )
-    return parts.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(edge)).alias("edges"), F.first(carried, ignorenulls=True).alias(carried)
-    ).withColumn("n", F.length("word"))
+    return parts.groupBy("_nth", *keys).agg(
+        F.sort_array(F.collect_list(edge)).alias("edges"), F.first(carried, ignorenulls=True).alias(carried),
+        F.first("n", ignorenulls=True).alias("n"))
 
 
 def merge_edges(edges: Column, n: Column) -> Column:
@@ -108,21 +118,16 @@ def merge_edges(edges: Column, n: Column) -> Column:
     The state has a bit for each place where a symbol starts. An edge whose two ends are such
     places with just one more between them is a merge of two neighbours; it clears that bit.
     """
-    one = F.lit(1).cast("long")
-    bit = lambda at: F.call_function("shiftleft", one, at)
-    inner = lambda e: bit(e["start"] + e["size"]) - bit(e["start"] + 1)
-    ends = lambda e: bit(e["start"]).bitwiseOR(bit(e["start"] + e["size"]))
-
     def merge(alive: Column, e: Column) -> Column:
-        between = alive.bitwiseAND(inner(e))
-        joins = (alive.bitwiseAND(ends(e)) == ends(e)) & (F.bit_count(between) == 1)
+        between = alive.bitwiseAND(e["inner"])
+        joins = (F.bit_count(between) == 1) & (alive.bitwiseAND(e["ends"]) == e["ends"])
         return F.when(joins, alive - between).otherwise(alive)
 
     def chosen(alive: Column) -> Column:
-        left = F.filter(edges, lambda e: (alive.bitwiseAND(ends(e)) == ends(e)) & (alive.bitwiseAND(inner(e)) == 0))
-        return F.flatten(F.transform(F.array_sort(F.transform(left, lambda e: F.struct(e["start"], e["ids"]))), lambda e: e["ids"]))
+        left = F.filter(edges, lambda e: (alive.bitwiseAND(e["inner"]) == 0) & (alive.bitwiseAND(e["ends"]) == e["ends"]))
+        return F.transform(F.sort_array(F.transform(left, lambda e: F.struct(e["start"], e["id"]))), lambda e: e["id"])
 
-    start = F.call_function("shiftleft", one, n + 1) - 1
+    start = F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1
     longer = F.filter(edges, lambda e: e["size"] > 1)
     return let(F.aggregate(longer, start, merge), chosen)
 
@@ -137,7 +142,7 @@ def best_path(edges: Column, n: Column) -> Column:
     nothing = F.lit(None).cast("array<int>")
     ordered = F.array_sort(F.transform(edges, lambda e: F.struct(
         (e["start"] + e["size"]).alias("end"), e["start"].alias("start"),
-        F.when(e["cost"] == float("inf"), F.lit(1e6)).otherwise(e["cost"]).alias("cost"), e["ids"].alias("ids"))))
+        F.when(e["cost"] == float("inf"), F.lit(1e6)).otherwise(e["cost"]).alias("cost"), F.array(e["id"]).alias("ids"))))
     first = F.transform(F.sequence(F.lit(0), n), lambda i: F.when(i == 0, cell(F.lit(0.0), F.array().cast("array<int>"))).otherwise(
         cell(F.lit(float("-inf")), nothing)))
 
@@ -173,31 +178,81 @@ def merged(word: str, ids: dict[str, int], scores: dict[str, float], first_byte:
     return [x for p in parts if p is not None for x in ([ids[p]] if p in ids else [first_byte + b for b in p.encode()])]
 
 
-def pack(ids: pa.Array, texts: pa.Array) -> bytes:
-    """Ids and texts as compressed columns."""
+def gathered(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The lists ``values[start : start + size]`` of the places ``at``, one after the other."""
+    taken = sizes[at]
+    ends = np.cumsum(taken)
+    return values[np.repeat(starts[at] - ends + taken, taken) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def starts_of(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def cut_texts(texts: list[str | None], cut: re.Pattern, held: frozenset[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct parts of texts, commonest first, the place of each part of the texts, and
+    how many parts each text has. A word is cut where no piece holds both neighbours."""
+    flat: list[str] = []
+    lengths = np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        if text:
+            found = cut.findall(SPACE + text.replace(" ", SPACE))
+            flat += found
+            lengths[i] = len(found)
+    coded = pa.array(flat, pa.string()).dictionary_encode()
+    del flat
+    parts: list[str] = []
+    sizes = np.zeros(len(coded.dictionary), np.int64)
+    for i, word in enumerate(coded.dictionary.to_pylist()):
+        ends = [j for j in range(1, len(word)) if word[j - 1 : j + 1] not in held]
+        parts += [word[a:b] for a, b in zip([0, *ends], [*ends, len(word)], strict=True)]
+        sizes[i] = len(ends) + 1
+    split = pa.array(parts, pa.string()).dictionary_encode()
+    words = coded.indices.to_numpy()
+    codes = gathered(starts_of(sizes), sizes, split.indices.to_numpy(), words)
+    ends = np.concatenate([[0], np.cumsum(sizes[words])])
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    order = np.argsort(-np.bincount(codes, minlength=len(split.dictionary)), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return split.dictionary.take(pa.array(order)), place[codes], np.diff(ends[bounds])
+
+
+def pack(ids: pa.Array, texts: pa.Array, cut: re.Pattern, held: frozenset[str]) -> bytes:
+    """Ids and the parts of texts, compressed. A text comes along as it is only if its parts do
+    not tell it: null, empty, or with the letter that stands for spaces."""
+    strings = texts.to_pylist()
+    parts, codes, sizes = cut_texts(strings, cut, held)
+    planes = codes.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    plain = pa.array([None if t and SPACE not in t else t for t in strings], pa.string())
+    row = {"ids": ids, "plain": plain, "told": pa.array([bool(t) and SPACE not in t for t in strings], pa.bool_()),
+           "sizes": pa.array(sizes.astype(np.int32)), "parts": parts}
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in row.values()]
+    batch = pa.RecordBatch.from_arrays([*lists, pa.array([planes], pa.binary())], [*row, "codes"])
     sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_arrays([ids, texts], ["id", "text"])
     options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
     with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
-def unpack(packed: pa.ChunkedArray) -> Iterator[pa.Table]:
+def unpack(packed: pa.ChunkedArray) -> Iterator[dict[str, pa.Array]]:
+    """Columns ``ids, plain, told, sizes, parts`` of each packed piece, and its codes."""
     for blob in packed:
-        yield pa.ipc.open_stream(blob.as_buffer()).read_all()
+        batch = pa.ipc.open_stream(blob.as_buffer()).read_next_batch()
+        yield {c: batch.column(c).flatten() for c in batch.schema.names[:-1]} | {"codes": batch.column("codes")}
 
 
-def cut_words(text: str, cut: re.Pattern) -> list[str]:
-    return cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
+def codes_of(piece: dict[str, pa.Array]) -> np.ndarray:
+    planes = np.frombuffer(piece["codes"][0].as_buffer(), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
 
 
-def vocabulary_of(tables: list[pa.Table], cut: re.Pattern, shares: int) -> dict[int, list[str]]:
-    """The distinct words of texts that go through the lattice, in order, by share (a hash)."""
+def vocabulary_of(packed: pa.ChunkedArray, shares: int) -> dict[int, list[str]]:
+    """The distinct parts of texts that go through the lattice, in order, by share (a hash)."""
     found: set[str] = set()
-    for table in tables:
-        for text in table.column("text").to_pylist():
-            found.update(cut_words(text, cut))
+    for piece in unpack(packed):
+        found.update(piece["parts"].to_pylist())
     out: dict[int, list[str]] = {}
     for word in sorted(w for w in found if len(w) <= LATTICE_LETTERS):
         out.setdefault(zlib.crc32(word.encode()) % shares, []).append(word)
@@ -207,18 +262,19 @@ def vocabulary_of(tables: list[pa.Table], cut: re.Pattern, shares: int) -> dict[
 def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, text_col, ids`` of each whole text, without begin or end.
 
-    Texts are dealt to blocks of bounded size by a hash, compressed, and cross one shuffle. Each
-    block tells its distinct words, in lists by a hash of the word; where lists of the same hash
-    meet, each distinct word becomes a lattice once, its edges are grouped by word and folded to
-    ids, and the ids go back to the blocks in the order of their lists. Then a block's texts are
-    written in ids, word by word. A word of more than 62 letters, whose lattice would grow with
-    its square, is merged by a heap while texts are written.
+    A text is cut into words, and a word where no piece holds both neighbouring letters; then it
+    is a list of places in a list of parts, and so, compressed, it crosses one shuffle to a
+    block of bounded size, dealt by a hash. Each block tells its distinct parts, in lists by a
+    hash of the part; where lists of the same hash meet, each distinct part becomes a lattice
+    once, its edges are grouped and folded to ids, and the ids go back to the blocks in the order
+    of their lists. Then a block's texts are written in ids, part by part. A part of more than 62
+    letters, whose lattice would grow with its square, is merged by a heap while texts are written.
 
     For BPE models the fold merges by rank, as Viterbi over the scores would not give the ids of
     such a model; for unigram models it is Viterbi.
 
     * A null or empty text has no ids; a null stays null. Repeated rows give repeated rows.
-    * Characters without a piece become the pieces of their bytes. A word of more than 62 letters
+    * Characters without a piece become the pieces of their bytes. A part of more than 62 letters
       raises an error if the model is a unigram model.
     * An empty table gives no rows; other columns are not looked at.
     """
@@ -227,17 +283,22 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 2 + size // BLOCK_BYTES
     parts = partitions_for(spark, blocks)
-    pattern, merges = table.pattern, table.merges
+    merges, first_byte = table.merges, table.first_byte
+    cut, held = re.compile(table.pattern), table.pairs
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             block = batch.column(0).to_numpy()
             order = np.argsort(block, kind="stable")
-            taken = batch.take(pa.array(order))
-            starts = np.flatnonzero(np.diff(block[order], prepend=-1))
-            ends = [*starts[1:].tolist(), len(order)]
-            blobs = [pack(taken.column(1)[a:b], taken.column(2)[a:b]) for a, b in zip(starts.tolist(), ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([taken.column(0).take(pa.array(starts)), pa.array(blobs, pa.binary())], ["block", "blob"])
+            taken, block = batch.take(pa.array(order)), block[order]
+            sizes = pc.fill_null(pc.binary_length(taken.column(2)), 0).to_numpy().astype(np.int64)
+            before = starts_of(sizes)
+            first = np.flatnonzero(np.diff(block, prepend=-1))
+            within = before - np.repeat(before[first], np.diff([*first, len(block)]))
+            starts = np.flatnonzero((np.diff(block, prepend=-1) != 0) | (np.diff(within // TOGETHER, prepend=0) > 0)).tolist()
+            for a, b in zip(starts, [*starts[1:], len(block)], strict=True):
+                blob = pack(taken.column(1)[a:b], taken.column(2)[a:b], cut, held)
+                yield pa.RecordBatch.from_arrays([pa.array(block[a : a + 1], pa.int32()), pa.array([blob], pa.binary())], ["block", "blob"])
 
     block = F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block")
     dealt = rows.select(block, "id", "text").mapInArrow(packed, "block int, blob binary").repartition(parts, "block")
@@ -247,7 +308,7 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
     shares = 4 * word_parts
 
     def tell(texts: pa.Table) -> pa.Table:
-        words = vocabulary_of(list(unpack(texts.column("blob"))), re.compile(pattern), shares)
+        words = vocabulary_of(texts.column("blob"), shares)
         return pa.table({
             "share": pa.array(words, pa.int32()),
             "block": pa.array([texts.column("block")[0].as_py()] * len(words), pa.int32()),
@@ -255,11 +316,11 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
 
     told = dealt.groupBy("block").applyInArrow(tell, "share int, block int, words string").repartition(word_parts, "share")
     words = told.select("share", "block", F.posexplode(F.from_json("words", "array<string>")).alias("place", "word"))
-    homes = words.groupBy("share", "word").agg(F.collect_list(F.struct("block", "place")).alias("homes"))
+    homes = words.groupBy("word", "share").agg(F.collect_list(F.struct("block", "place")).alias("homes"))
     fold = merge_edges if merges else best_path
-    folded = lattice(homes, table, ["share", "word"], "homes").select("share", "homes", fold(F.col("edges"), F.col("n")).alias("ids"))
+    folded = lattice(homes, table, ["share"], "homes").select("share", "homes", fold(F.col("edges"), F.col("n")).alias("ids"))
     back = folded.select("share", F.explode("homes").alias("home"), "ids").select("share", "home.block", "home.place", "ids")
-    placed = back.groupBy("share", "block").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("placed"))
+    placed = back.groupBy("block", "share").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("placed"))
     known = placed.select(
         F.col("block").alias("known_block"), "share",
         F.flatten(F.transform("placed", lambda w: w["ids"])).alias("ids"),
@@ -267,30 +328,52 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
     )
     ids = {p: i for p, i, _ in table.pieces}
     scores = {p: s for p, _, s in table.pieces}
-    first_byte = table.first_byte
 
     def write(texts: pa.Table, vocabulary: pa.Table) -> pa.Table:
-        cut = re.compile(pattern)
-        tables = list(unpack(texts.column("blob")))
-        lists: list[pa.Array] = []
-        words, known = vocabulary_of(tables, cut, shares), {}
-        for share, flat, sizes in zip(*(vocabulary.column(c).to_pylist() for c in ("share", "ids", "sizes")), strict=True):
-            ends = np.cumsum([0, *sizes]).tolist()
-            known |= {w: flat[a:b] for w, a, b in zip(words[share], ends[:-1], ends[1:], strict=True)}
-        for part in tables:
-            coded: list[list[int]] = []
-            for text in part.column("text").to_pylist():
-                out: list[int] = []
-                for word in cut_words(text, cut):
-                    if (found := known.get(word)) is None:
-                        if not merges:
-                            raise ValueError("a word too long for the lattice of a unigram model")
-                        found = merged(word, ids, scores, first_byte)
-                    out += found
-                coded.append(out)
-            lists.append(pa.array(coded, pa.list_(pa.int32())))
-        whole_part = pa.concat_tables(tables)
-        return whole_part.append_column("ids", pa.chunked_array(lists))
+        blobs = texts.column("blob")
+        lists = vocabulary_of(blobs, shares)
+        words = [w for share in vocabulary.column("share").to_pylist() for w in lists[share]]
+        flat = vocabulary.column("ids").combine_chunks().flatten().to_numpy()
+        sizes = vocabulary.column("sizes").combine_chunks().flatten().to_numpy().astype(np.int64)
+        if len(words) != len(sizes) or len(words) != sum(map(len, lists.values())):
+            raise ValueError("a block's words have changed since they were told")
+        del lists
+        # letters without a piece become the ids of their bytes
+        letters = {x: [first_byte + b for b in chr(-x - 1).encode()] for x in np.unique(flat[flat < 0]).tolist()}
+        if letters:
+            grown = np.ones(len(flat), np.int64)
+            for x, coded in letters.items():
+                grown[flat == x] = len(coded)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            wide = np.repeat(flat, grown)
+            nth = np.arange(len(wide)) - np.repeat(starts_of(grown), grown)
+            for x, coded in letters.items():
+                here = np.flatnonzero(wide == x)
+                wide[here] = np.array(coded)[nth[here]]
+            sizes, flat = np.bincount(owner, grown, len(sizes)).astype(np.int64), wide
+        vocabulary_words, starts = pa.array(words, pa.string()), starts_of(sizes)
+        del words
+        out = []
+        for piece in unpack(blobs):
+            at = pc.index_in(piece["parts"], value_set=vocabulary_words)
+            place = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+            far = np.flatnonzero(pc.is_null(at).to_numpy(zero_copy_only=False))
+            if len(far) and not merges:
+                raise ValueError("a word too long for the lattice of a unigram model")
+            own = [merged(piece["parts"][i].as_py(), ids, scores, first_byte) for i in far.tolist()]
+            place[far] = len(sizes) + np.arange(len(far))
+            every = np.concatenate([sizes, np.array([len(x) for x in own], np.int64)])
+            values = np.concatenate([flat, *[np.array(x, flat.dtype) for x in own]])
+            codes, counts = codes_of(piece), piece["sizes"].to_numpy()
+            bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+            coded = gathered(starts if not own else starts_of(every), every, values, place[codes])
+            ends = np.concatenate([[0], np.cumsum(every[place[codes]])])[bounds.to_numpy()]
+            spelt = pc.binary_join(pa.ListArray.from_arrays(bounds, piece["parts"].take(pa.array(codes))), "")
+            spelt = pc.replace_substring(pc.utf8_slice_codeunits(spelt, 1), SPACE, " ")
+            out.append(pa.table({
+                "id": piece["ids"], "text": pc.if_else(piece["told"], spelt, piece["plain"]),
+                "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(coded, pa.int32()))}))
+        return pa.concat_tables(out)
 
     written = dealt.groupBy("block").cogroup(known.groupBy("known_block")).applyInArrow(write, f"id {id_type}, text string, ids array<int>")
     return written.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "ids")
