@@ -2,7 +2,6 @@
 
 import heapq
 import json
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,11 +43,6 @@ class PieceTable:
         """Neighbouring letters within a piece. No piece crosses a place between two others."""
         return frozenset(p[i : i + 2] for p, _, _ in self.pieces for i in range(len(p) - 1))
 
-    @property
-    def pattern(self) -> str:
-        """Words: stretches that no piece crosses, as spaces stand only in front of pieces."""
-        return f"{SPACE}*[^{SPACE}]+|{SPACE}+"
-
 
 def load_pieces(path: str) -> PieceTable:
     """Read a model file on the driver. Its size is fixed, so its table may be broadcast."""
@@ -189,40 +183,56 @@ def starts_of(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
 
-def cut_texts(texts: list[str | None], cut: re.Pattern, held: frozenset[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Neighbours:
+    """The letters of a model's pieces, numbered from 1, and which of them stand together in one."""
+
+    number: np.ndarray
+    held: np.ndarray
+
+    @classmethod
+    def of(cls, pairs: frozenset[str]) -> "Neighbours":
+        letters = {c: i for i, c in enumerate(sorted(set("".join(pairs))), 1)}
+        number = np.zeros(0x110000, np.uint16)
+        number[[ord(c) for c in letters]] = list(letters.values())
+        held = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        held[[letters[p[0]] for p in pairs], [letters[p[1]] for p in pairs]] = True
+        return cls(number, held)
+
+    def cut(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The parts of texts, cut where no piece holds both neighbours, and their number in each."""
+        shown = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+        joined = "".join(shown)
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        number = self.number[points]
+        begins = np.ones(len(points), bool)
+        begins[1:] = ~self.held[number[:-1], number[1:]]
+        ends = np.cumsum([len(t) for t in shown])
+        begins[ends[ends < len(points)]] = True
+        first = np.flatnonzero(begins)
+        width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        offsets = np.append((np.cumsum(width) - width)[first], width.sum()).astype(np.int32)
+        parts = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(joined.encode()))
+        return parts, np.diff(np.searchsorted(first, ends), prepend=0)
+
+
+def cut_texts(texts: list[str | None], neighbours: Neighbours) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct parts of texts, commonest first, the place of each part of the texts, and
-    how many parts each text has. A word is cut where no piece holds both neighbours."""
-    flat: list[str] = []
-    lengths = np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        if text:
-            found = cut.findall(SPACE + text.replace(" ", SPACE))
-            flat += found
-            lengths[i] = len(found)
-    coded = pa.array(flat, pa.string()).dictionary_encode()
-    del flat
-    parts: list[str] = []
-    sizes = np.zeros(len(coded.dictionary), np.int64)
-    for i, word in enumerate(coded.dictionary.to_pylist()):
-        ends = [j for j in range(1, len(word)) if word[j - 1 : j + 1] not in held]
-        parts += [word[a:b] for a, b in zip([0, *ends], [*ends, len(word)], strict=True)]
-        sizes[i] = len(ends) + 1
-    split = pa.array(parts, pa.string()).dictionary_encode()
-    words = coded.indices.to_numpy()
-    codes = gathered(starts_of(sizes), sizes, split.indices.to_numpy(), words)
-    ends = np.concatenate([[0], np.cumsum(sizes[words])])
-    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    how many parts each text has."""
+    parts, lengths = neighbours.cut(texts)
+    split = parts.dictionary_encode()
+    codes = split.indices.to_numpy()
     order = np.argsort(-np.bincount(codes, minlength=len(split.dictionary)), kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    return split.dictionary.take(pa.array(order)), place[codes], np.diff(ends[bounds])
+    return split.dictionary.take(pa.array(order)), place[codes], lengths
 
 
-def pack(ids: pa.Array, texts: pa.Array, cut: re.Pattern, held: frozenset[str]) -> bytes:
+def pack(ids: pa.Array, texts: pa.Array, neighbours: Neighbours) -> bytes:
     """Ids and the parts of texts, compressed. A text comes along as it is only if its parts do
     not tell it: null, empty, or with the letter that stands for spaces."""
     strings = texts.to_pylist()
-    parts, codes, sizes = cut_texts(strings, cut, held)
+    parts, codes, sizes = cut_texts(strings, neighbours)
     planes = codes.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
     plain = pa.array([None if t and SPACE not in t else t for t in strings], pa.string())
     row = {"ids": ids, "plain": plain, "told": pa.array([bool(t) and SPACE not in t for t in strings], pa.bool_()),
@@ -262,7 +272,7 @@ def vocabulary_of(packed: pa.ChunkedArray, shares: int) -> dict[int, list[str]]:
 def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, text_col, ids`` of each whole text, without begin or end.
 
-    A text is cut into words, and a word where no piece holds both neighbouring letters; then it
+    A text is cut where no piece holds both neighbouring letters, so before each space; then it
     is a list of places in a list of parts, and so, compressed, it crosses one shuffle to a
     block of bounded size, dealt by a hash. Each block tells its distinct parts, in lists by a
     hash of the part; where lists of the same hash meet, each distinct part becomes a lattice
@@ -284,7 +294,7 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
     blocks = 2 + size // BLOCK_BYTES
     parts = partitions_for(spark, blocks)
     merges, first_byte = table.merges, table.first_byte
-    cut, held = re.compile(table.pattern), table.pairs
+    neighbours = Neighbours.of(table.pairs)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,7 +307,7 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
             within = before - np.repeat(before[first], np.diff([*first, len(block)]))
             starts = np.flatnonzero((np.diff(block, prepend=-1) != 0) | (np.diff(within // TOGETHER, prepend=0) > 0)).tolist()
             for a, b in zip(starts, [*starts[1:], len(block)], strict=True):
-                blob = pack(taken.column(1)[a:b], taken.column(2)[a:b], cut, held)
+                blob = pack(taken.column(1)[a:b], taken.column(2)[a:b], neighbours)
                 yield pa.RecordBatch.from_arrays([pa.array(block[a : a + 1], pa.int32()), pa.array([blob], pa.binary())], ["block", "blob"])
 
     block = F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block")
