@@ -258,15 +258,16 @@ def codes_of(piece: dict[str, pa.Array]) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
 
 
-def vocabulary_of(packed: pa.ChunkedArray, shares: int) -> dict[int, list[str]]:
-    """The distinct parts of texts that go through the lattice, in order, by share (a hash)."""
-    found: set[str] = set()
-    for piece in unpack(packed):
-        found.update(piece["parts"].to_pylist())
-    out: dict[int, list[str]] = {}
-    for word in sorted(w for w in found if len(w) <= LATTICE_LETTERS):
-        out.setdefault(zlib.crc32(word.encode()) % shares, []).append(word)
-    return out
+def vocabulary_of(packed: pa.ChunkedArray, shares: int) -> tuple[pa.Array, np.ndarray]:
+    """The distinct parts of texts that go through the lattice, ordered by share (a hash) and part,
+    and the share of each. It does not depend on the order of the packed pieces."""
+    parts = pc.unique(pa.chunked_array([piece["parts"] for piece in unpack(packed)], pa.string()))
+    parts = parts.filter(pc.less_equal(pc.utf8_length(parts), LATTICE_LETTERS))
+    parts = parts.take(pc.sort_indices(parts))
+    hashes = map(zlib.crc32, parts.cast(pa.binary()).to_pylist())
+    share = np.fromiter(hashes, np.int64, len(parts)) % shares
+    order = np.argsort(share, kind="stable")
+    return parts.take(pa.array(order)), share[order]
 
 
 def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,11 +319,13 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
     shares = 4 * word_parts
 
     def tell(texts: pa.Table) -> pa.Table:
-        words = vocabulary_of(texts.column("blob"), shares)
+        words, share = vocabulary_of(texts.column("blob"), shares)
+        present, starts = np.unique(share, return_index=True)
+        lists = [words[a:b].to_pylist() for a, b in zip(starts, [*starts[1:], len(words)], strict=bool(len(words)))]
         return pa.table({
-            "share": pa.array(words, pa.int32()),
-            "block": pa.array([texts.column("block")[0].as_py()] * len(words), pa.int32()),
-            "words": pa.array([json.dumps(w, ensure_ascii=False) for w in words.values()], pa.string())})
+            "share": pa.array(present, pa.int32()),
+            "block": pa.array([texts.column("block")[0].as_py()] * len(present), pa.int32()),
+            "words": pa.array([json.dumps(w, ensure_ascii=False) for w in lists], pa.string())})
 
     told = dealt.groupBy("block").applyInArrow(tell, "share int, block int, words string").repartition(word_parts, "share")
     words = told.select("share", "block", F.posexplode(F.from_json("words", "array<string>")).alias("place", "word"))
@@ -341,13 +344,14 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
 
     def write(texts: pa.Table, vocabulary: pa.Table) -> pa.Table:
         blobs = texts.column("blob")
-        lists = vocabulary_of(blobs, shares)
-        words = [w for share in vocabulary.column("share").to_pylist() for w in lists[share]]
+        words, share = vocabulary_of(blobs, shares)
+        vocabulary = vocabulary.sort_by("share")
         flat = vocabulary.column("ids").combine_chunks().flatten().to_numpy()
         sizes = vocabulary.column("sizes").combine_chunks().flatten().to_numpy().astype(np.int64)
-        if len(words) != len(sizes) or len(words) != sum(map(len, lists.values())):
+        told, counts = np.unique(share, return_counts=True)
+        held = pc.list_value_length(vocabulary.column("sizes")).to_numpy()
+        if not np.array_equal(vocabulary.column("share").to_numpy(), told) or not np.array_equal(held, counts):
             raise ValueError("a block's words have changed since they were told")
-        del lists
         # letters without a piece become the ids of their bytes
         letters = {x: [first_byte + b for b in chr(-x - 1).encode()] for x in np.unique(flat[flat < 0]).tolist()}
         if letters:
@@ -361,11 +365,10 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
                 here = np.flatnonzero(wide == x)
                 wide[here] = np.array(coded)[nth[here]]
             sizes, flat = np.bincount(owner, grown, len(sizes)).astype(np.int64), wide
-        vocabulary_words, starts = pa.array(words, pa.string()), starts_of(sizes)
-        del words
+        starts = starts_of(sizes)
         out = []
         for piece in unpack(blobs):
-            at = pc.index_in(piece["parts"], value_set=vocabulary_words)
+            at = pc.index_in(piece["parts"], value_set=words)
             place = pc.fill_null(at, 0).to_numpy().astype(np.int64)
             far = np.flatnonzero(pc.is_null(at).to_numpy(zero_copy_only=False))
             if len(far) and not merges:
@@ -402,5 +405,5 @@ def decode(ids: Column, table: PieceTable) -> Column:
     """
     shown = F.split(F.lit(",".join(x.hex() for x in table.shown)), ",")
     text = F.array_join(F.transform(ids, lambda i: F.element_at(shown, i + 1)), "")
-    plain = F.translate(F.make_valid_utf8(F.unhex(text).cast("string")), SPACE, " ")
-    return F.when(F.substring(plain, 1, 1) == " ", F.substring(plain, F.lit(2), F.length(plain))).otherwise(plain)
+    plain = F.replace(F.make_valid_utf8(F.unhex(text).cast("string")), F.lit(SPACE), F.lit(" "))
+    return let(plain, lambda p: F.when(F.startswith(p, F.lit(" ")), F.substring(p, F.lit(2), F.length(p))).otherwise(p))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from logweir.llm.elias_fano import EliasFano
 from logweir.llm.line_dedup import dedup_lines
 from logweir.llm.ngram_score import score_texts
-from logweir.llm.pieces import decode, encode, load_pieces
+from logweir.llm.pieces import Neighbours, PieceTable, decode, encode, load_pieces
 
 SCHEMA = "doc_id long, text string, words string, shard int"
 TEXTS = ["the cat sat on the mat", "The cat ran", None, "", " \n\t ", "the cat sat on the mat", "Äpfel 猫 \U0001f600 the", "a" * 5000, "x  y\n\nz, 42!"]
@@ -88,6 +88,45 @@ def test_pieces_equal_the_library_and_come_back(docs):
     assert encode(docs.limit(0), table).count() == 0
 
 
+ODD = ["a\u2581b c", "\u2581", " ", "  lead", "trail  ", "nul\x00nul", "\x00", "qxzjq wvkxq", "\U0001f600\U0001f600é\u0301x", "abab" * 50 + "\nzz", "tab\tè\u00e8ü\u00fc"]
+
+
+def test_parts_of_odd_texts_equal_the_library(spark):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    table, library = load_pieces(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    got = encode(spark.createDataFrame([*enumerate(ODD)], "doc_id long, text string"), table).collect()
+    assert len(got) == len(ODD)
+    for r in got:
+        assert r.text == ODD[r.doc_id] and list(r.ids) == library.encode(r.text)
+    parts, sizes = Neighbours.of(table.pairs).cut(["ab  c", "", "è"])
+    assert sizes[1] == 0 and "".join(parts.to_pylist()) == "\u2581ab\u2581\u2581c\u2581è"
+
+
+def test_a_unigram_model_takes_the_best_path(spark):
+    scores = {"\u2581": -4.0, "a": -3.1, "b": -3.3, "c": -5.7, "ab": -4.2, "\u2581a": -3.9, "bc": -4.9, "abc": -9.3, "\u2581ab": -7.77, "ca": -3.05}
+    pieces = tuple((p, 300 + i, x) for i, (p, x) in enumerate(scores.items()))
+    table = PieceTable(pieces, tuple([b""] * 320), 3, False)
+    number = {p: i for p, i, _ in pieces}
+
+    def best(text):
+        if not text:
+            return 0.0, []
+        found = []
+        for n in range(1, len(text) + 1):
+            part = text[:n]
+            if part in scores or n == 1:
+                cost, ids = best(text[n:])
+                own = [number[part]] if part in number else [3 + b for b in part.encode()]
+                found.append((cost - scores.get(part, -1e6), own + ids))
+        return min(found)
+
+    texts = ["abcab", "cabca bcaab", "aéb", "xab c", "abcabcabc"]
+    for r in encode(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), table).collect():
+        assert list(r.ids) == best("\u2581" + r.text.replace(" ", "\u2581"))[1]
+
+
 def test_shared_lines_stay_in_the_last_document(spark):
     line = "A line that is long enough"
     rows = [(i, f"own {i}\n {line.upper() if i == 1 else line} \n{line}") for i in range(4)] + [(9, None)]
