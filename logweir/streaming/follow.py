@@ -37,6 +37,7 @@ def follow_rows(
     configure(spark)
     spark.dataSource.register(LogFollowSource)
     options = {"path": path, "initialLines": initial_lines, "onLoss": on_loss, "index": str(index).lower()}
+    options |= {"tasks": spark.sparkContext.defaultParallelism}
     options |= {"rangeBytes": range_bytes} if range_bytes else {}
     options |= {"settleSeconds": settle_seconds} if settle_seconds is not None else {}
     return spark.readStream.format("log_follow").options(**options).load()

@@ -6,6 +6,7 @@ Planning looks at sizes and at the first kilobyte of files that changed; lines a
 tasks, in byte ranges. All machines must see the files under the same paths.
 """
 
+import bisect
 import glob
 import hashlib
 import os
@@ -22,6 +23,8 @@ from logweir.patterns import DETECTION_LINES, FOLLOW_LINES
 
 _BLOCK = 1 << 16
 _READ = 4 << 20
+#: Bytes of a task that reads many ranges; what a range counts for besides its bytes.
+_TASK, _TASK_LEAST, _OPENED = 16 << 20, 1 << 20, 1 << 12
 #: First bytes of a file kept as they are, and lengths of which only a digest is kept.
 _HEAD, _DEEPER = 64, (256, 1024)
 
@@ -37,7 +40,8 @@ class LogFollowSource(DataSource):
     * ``path``: file, folder or glob.
     * ``initialLines``: how many non-blank lines of each file present at the start come first
       (kind ``backlog``), or ``all``.
-    * ``rangeBytes`` per task.
+    * ``rangeBytes``: lines are counted in ranges of so many bytes, of which a task reads one or many.
+    * ``tasks``: how many tasks a batch has at least, if there is a megabyte for each.
     * ``settleSeconds`` (60): an unfinished last line is released when its file has been still for so
       long; what is appended to it afterwards is a line of its own.
     * ``onLoss``: ``fail``, or ``skip`` to go on without bytes that are gone before they were read.
@@ -62,8 +66,8 @@ class LogFollowSource(DataSource):
 
 
 @dataclass
-class ByteRange(InputPartition):
-    """A task: lines that end in ``[start, stop)``, or another ``kind`` of rows."""
+class ByteRange:
+    """Lines that end in ``[start, stop)``, or another ``kind`` of rows."""
 
     file: str
     file_id: str
@@ -79,12 +83,25 @@ class ByteRange(InputPartition):
     #: Lines of a backlog, or of a head.
     lines: int = 0
 
+    @property
+    def cost(self) -> int:
+        """About the bytes that are read."""
+        return _OPENED + min(self.stop - self.start, _BLOCK if self.kind in ("head", "backlog") else self.stop)
+
+
+@dataclass
+class RangeGroup(InputPartition):
+    """A task: ranges read one after the other."""
+
+    ranges: list[ByteRange]
+
 
 class LogFollowReader(DataSourceStreamReader):
     def __init__(self, options):
         self.path = options["path"]
         self.initial = str(options.get("initialLines", FOLLOW_LINES))
         self.range_bytes = int(options.get("rangeBytes", 16 << 20))
+        self.tasks = int(options.get("tasks", 1))
         self.settle = float(options.get("settleSeconds", 60))
         self.skip_loss = str(options.get("onLoss", "fail")).lower() == "skip"
         self.index = str(options.get("index", "false")).lower() == "true"
@@ -143,12 +160,12 @@ class LogFollowReader(DataSourceStreamReader):
             latest[file_id] = entry
         return dict(sorted(latest.items()))
 
-    def partitions(self, start: dict, end: dict) -> list[ByteRange]:
-        ranges = []
+    def partitions(self, start: dict, end: dict) -> list[RangeGroup]:
+        ranges, places = [], Places(start, end)
         for file_id, now in end.items():
-            ranges += self._ranges(file_id, _place_before(file_id, now, start, end), now)
+            ranges += self._ranges(file_id, places.before(file_id, now), now)
         self.reached = {k: {name: v for name, v in entry.items() if name != "last"} for k, entry in end.items()}
-        return ranges
+        return _grouped(ranges, self.tasks)
 
     def _ranges(self, file_id: str, before: dict, now: dict) -> Iterator[ByteRange]:
         first, stop = before["pos"], now["pos"]
@@ -174,7 +191,18 @@ class LogFollowReader(DataSourceStreamReader):
             yield ByteRange(
                 **own, start=at, stop=upto, at_line_start=whole and at == first, floor=floor, final=now["whole"] and upto == stop)
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: RangeGroup) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in (b for one in partition.ranges for b in self._rows_of(one) if b.num_rows):
+            held.append(batch)
+            size += batch.nbytes
+            if size >= _READ:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    def _rows_of(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         source = _open(partition)
         if source is None:
             if self.skip_loss:
@@ -218,18 +246,49 @@ def _same(before: dict, now: dict) -> bool:
     )
 
 
-def _place_before(file_id: str, now: dict, start: dict, end: dict) -> dict:
-    """Where a file was left: by its identity, else by its first bytes if their file is gone."""
-    before = start.get(file_id)
-    if before:
-        if _same(before, now):
-            return before
-    elif now["head"]:
+class Places:
+    """Where files were left: by their identity, else by their first bytes if their file is gone.
+
+    Places of files that are gone are told by all first bytes and digests they have. Of those that
+    have them in common, in order of identity, one is kept if it is lower than all before it: the
+    first not above some place is among these.
+    """
+
+    def __init__(self, start: dict, end: dict) -> None:
+        self.start: dict[str, dict] = start
+        self.gone: dict[tuple, list[tuple[int, str]]] = {}
         for other, entry in sorted(start.items()):
-            left = other not in end or not _same(entry, end[other])
-            if left and len(entry["head"]) == 2 * _HEAD and _same(entry, now):
-                return entry
-    return {"pos": 0, "whole": True, "floor": 0}
+            if len(entry["head"]) == 2 * _HEAD and (other not in end or not _same(entry, end[other])):
+                lower = self.gone.setdefault((entry["head"], *entry["deeper"]), [])
+                if not lower or entry["pos"] < -lower[-1][0]:
+                    lower.append((-entry["pos"], other))
+
+    def before(self, file_id: str, now: dict) -> dict:
+        known = self.start.get(file_id)
+        if known:
+            if _same(known, now):
+                return known
+        elif now["head"]:
+            found = []
+            for n in range(len(now["deeper"]) + 1):
+                lower = self.gone.get((now["head"], *now["deeper"][:n]), [])
+                found += lower[(at := bisect.bisect_left(lower, (-now["pos"], ""))) : at + 1]
+            if found:
+                return self.start[min(other for _, other in found)]
+        return {"pos": 0, "whole": True, "floor": 0}
+
+
+def _grouped(ranges: list[ByteRange], tasks: int) -> list[RangeGroup]:
+    """Ranges in their order, dealt to tasks by their bytes."""
+    share = min(_TASK, max(_TASK_LEAST, sum(r.cost for r in ranges) // max(1, tasks)))
+    groups, size = [], 0
+    for one in ranges:
+        if not groups or size + one.cost > share:
+            groups.append(RangeGroup([]))
+            size = 0
+        groups[-1].ranges.append(one)
+        size += one.cost
+    return groups
 
 
 def _open(partition: ByteRange):
