@@ -233,12 +233,14 @@ def pack(ids: pa.Array, texts: pa.Array, neighbours: Neighbours) -> bytes:
     not tell it: null, empty, or with the letter that stands for spaces."""
     strings = texts.to_pylist()
     parts, codes, sizes = cut_texts(strings, neighbours)
-    planes = codes.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
     plain = pa.array([None if t and SPACE not in t else t for t in strings], pa.string())
     row = {"ids": ids, "plain": plain, "told": pa.array([bool(t) and SPACE not in t for t in strings], pa.bool_()),
-           "sizes": pa.array(sizes.astype(np.int32)), "parts": parts}
+           "sizes": pa.array(sizes.astype(np.int32))}
     lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in row.values()]
-    batch = pa.RecordBatch.from_arrays([*lists, pa.array([planes], pa.binary())], [*row, "codes"])
+    offsets = np.frombuffer(parts.buffers()[1], np.int32, len(parts) + 1, 4 * parts.offset) if len(parts) else np.zeros(1, np.int32)
+    letters = parts.buffers()[2][int(offsets[0]) : int(offsets[-1])] if len(parts) else b""
+    blobs = [planes_of(codes), planes_of(np.diff(offsets)), letters]
+    batch = pa.RecordBatch.from_arrays([*lists, *[pa.array([bytes(b)], pa.binary()) for b in blobs]], [*row, "codes", "lengths", "letters"])
     sink = pa.BufferOutputStream()
     options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
     with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
@@ -250,14 +252,26 @@ def unpack(packed: pa.ChunkedArray) -> Iterator[dict[str, pa.Array]]:
     """Columns ``ids, plain, told, sizes, parts`` of each packed piece, and its codes."""
     for blob in packed:
         batch = pa.ipc.open_stream(blob.as_buffer()).read_next_batch()
-        yield {c: batch.column(c).flatten() for c in batch.schema.names[:-1]} | {"codes": batch.column("codes")}
+        lengths = from_planes(batch.column("lengths"))
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        parts = pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), batch.column("letters")[0].as_buffer())
+        yield {c: batch.column(c).flatten() for c in batch.schema.names[:4]} | {"parts": parts, "codes": batch.column("codes")}
 
 
-def codes_of(piece: dict[str, pa.Array]) -> np.ndarray:
-    planes = np.frombuffer(piece["codes"][0].as_buffer(), np.uint8).reshape(4, -1)
+def planes_of(values: np.ndarray) -> bytes:
+    """Whole numbers as their lowest bytes, then the next ones: what compresses better than numbers, or than offsets."""
+    return values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(column: pa.Array) -> np.ndarray:
+    planes = np.frombuffer(column[0].as_buffer(), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
 
 
+def codes_of(piece: dict[str, pa.Array]) -> np.ndarray:
+    return from_planes(piece["codes"])
+
+
 def vocabulary_of(packed: pa.ChunkedArray, shares: int) -> tuple[pa.Array, np.ndarray]:
     """The distinct parts of texts that go through the lattice, ordered by share (a hash) and part,
     and the share of each. It does not depend on the order of the packed pieces."""
@@ -337,7 +351,7 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
     known = placed.select(
         F.col("block").alias("known_block"), "share",
         F.flatten(F.transform("placed", lambda w: w["ids"])).alias("ids"),
-        F.transform("placed", lambda w: F.size(w["ids"])).alias("sizes"),
+        F.transform("placed", lambda w: F.size(w["ids"]).cast("tinyint")).alias("sizes"),  # at most LATTICE_LETTERS
     )
     ids = {p: i for p, i, _ in table.pieces}
     scores = {p: s for p, _, s in table.pieces}

@@ -133,3 +133,24 @@ def test_shared_lines_stay_in_the_last_document(spark):
     got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i].n_dropped for i in (0, 1, 2, 3, 9)] == [2, 2, 2, 0, 0]
     assert got[0].kept_text == "own 0" and got[9].kept_text == "" and got[9].n_lines == 1
+
+
+def test_packed_texts_cross_the_shuffle_small_and_whole():
+    """A part costs its letters and about a byte, not an offset, which hardly compresses."""
+    import random
+
+    import pyarrow as pa
+
+    from logweir.llm import pieces
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(20_000)]
+    neighbours = pieces.Neighbours.of(frozenset(a + b for a in "abcdefgh" for b in "abcdefgh"))
+    texts = [None, "", "é\x00 \n" + "x" * 300, pieces.SPACE, " ".join(words)]
+    blob = pieces.pack(pa.array(range(5)), pa.array(texts), neighbours)
+    parts, codes, sizes = pieces.cut_texts(texts, neighbours)
+    (found,) = pieces.unpack(pa.chunked_array([[blob]], pa.binary()))
+    assert found["parts"].equals(parts) and found["sizes"].to_pylist() == sizes.tolist()
+    assert pieces.codes_of(found).tolist() == codes.tolist()
+    assert found["plain"].to_pylist() == [None, "", None, pieces.SPACE, None]
+    assert len(blob) < 90_000
