@@ -5,8 +5,6 @@ import tempfile
 
 import numpy as np
 
-ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
-
 
 def _nth_bit(words: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The place of the ``n``-th set bit (from 0) of each word, by halving."""
@@ -33,8 +31,10 @@ class EliasFano:
         bits[(values >> self.shift) + np.arange(n)] = 1
         high = np.packbits(bits, bitorder="little").view(np.uint64)
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high).astype(np.int64))])
-        self.low, self.high, self.ones = mapped(
-            (values & ((1 << self.shift) - 1)).astype(kind), high, ones.astype(np.uint32))
+        #: How many values lie in buckets below each: where a bucket's zero stands, less the zeros before.
+        starts = np.concatenate([[0], np.cumsum(np.bincount(values >> self.shift, minlength=self.buckets))])
+        self.low, self.high, self.ones, self.starts = mapped(
+            (values & ((1 << self.shift) - 1)).astype(kind), high, ones.astype(np.uint32), starts.astype(np.uint32))
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
         """The values at the given places."""
@@ -42,14 +42,6 @@ class EliasFano:
         place = word * 64 + _nth_bit(self.high[word], at - self.ones[word])
         return ((place - at) << self.shift) | self.low[at].astype(np.int64)
 
-    def _before(self, bucket: np.ndarray) -> np.ndarray:
-        """How many values lie in buckets below each of those given."""
-        zero = np.maximum(bucket - 1, 0)
-        zeros = np.arange(len(self.ones)) * 64 - self.ones
-        word = np.searchsorted(zeros, zero, "right") - 1
-        place = word * 64 + _nth_bit(self.high[word] ^ ALL, zero - zeros[word])
-        return np.where(bucket == 0, 0, place - zero)
-
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """The place of each number, by search for its successor; -1 where it is not held."""
         if not self.n:
@@ -57,7 +49,7 @@ class EliasFano:
         bucket = wanted >> self.shift
         inside = (wanted >= 0) & (bucket < self.buckets)
         bucket = np.where(inside, bucket, 0)
-        start, end = self._before(bucket), self._before(bucket + 1)
+        start, end = self.starts[bucket].astype(np.int64), self.starts[bucket + 1].astype(np.int64)
         low, stop = wanted & ((1 << self.shift) - 1), end
         while (open_ := start < stop).any():
             middle = np.where(open_, (start + stop) >> 1, 0)

@@ -1,13 +1,15 @@
 """Log probabilities of texts under a trigram model held in Elias-Fano tries."""
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano, mapped
@@ -16,12 +18,17 @@ from .text import whole
 #: The token that ends a text: no word is empty. The hash that stands for the begin of a text.
 END, BEGIN = b"", 0x6265676E
 #: Bytes of text cut up in one go and per shard, tokens looked up in one go.
-TOGETHER, SHARD_BYTES, AT_ONCE = 8_000_000, 12_000_000, 250_000
-#: Distinct words that a counting task holds before it hands them on.
-HELD_WORDS = 1_000_000
-#: A word is common if it has at least one in so many bytes of text. A token takes two bytes
-#: or more, so that there are at most half as many common words, whatever the text.
-COMMON_SHARE = 4_000_000
+TOGETHER, SHARD_BYTES, AT_ONCE = 8_000_000, 8_000_000, 100_000
+#: Tokens after one word before it is split over shards.
+SPLIT_TOKENS = 300_000
+#: Distinct words that a counting task holds before it hands them on. Counts that are held before they are added up.
+HELD_WORDS, MOST_HELD = 1_000_000, 1_500_000
+#: A word is common if it has at least one in so many bytes of text, and is among so many.
+COMMON_SHARE, MOST_COMMON = 32_000_000, 400_000
+#: Steps of one in sums of logarithms on their way.
+FINE = 2.0**32
+#: What a part keeps of its rows: counts and base scores are those of common words.
+HOME = ("ids", "learned", "n_tokens", "n_known", "base")
 #: Steps per halving of a quantised probability.
 STEPS = 1024
 
@@ -41,18 +48,26 @@ class Trie:
     Levels are monotone: each list of siblings is moved up by where the lists before it end.
     """
 
-    def __init__(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, n_words: int, discount: float) -> None:
-        self.n_words = n_words
-        pairs, at, counts = np.unique(v * n_words + w, return_inverse=True, return_counts=True)
+    def __init__(self, u: np.ndarray, pair: np.ndarray, n: np.ndarray, n_words: int, discount: float, split: "Split") -> None:
+        """Distinct ``u, v, w`` in order of ``pair = v * n_words + w``, then u, with their counts."""
+        self.n_words, v = n_words, pair // n_words
+        own = ~np.isin(v, split.words)
+        at = np.flatnonzero(np.diff(pair[own], prepend=-1))
+        pairs, counts = np.append(pair[own][at], split.pairs), np.append(_sums(n[own], at), split.counts)
+        order = np.argsort(pairs)
+        pairs, counts = pairs[order], counts[order]
         after = pairs // n_words
-        totals, kinds = np.bincount(v, minlength=n_words), np.bincount(after, minlength=n_words)
-        first = np.concatenate([[0], np.cumsum(kinds)])
-        contexts, of, seen = np.unique(v * n_words + u, return_inverse=True, return_counts=True)
-        ends = np.cumsum(kinds[contexts // n_words])
+        listed = np.bincount(after, minlength=n_words)
+        kinds, totals = listed.copy(), np.bincount(after, counts, n_words)
+        kinds[split.words], totals[split.words] = split.kinds, split.totals
+        first = np.concatenate([[0], np.cumsum(listed)])
+        contexts, of = np.unique(v * n_words + u, return_inverse=True)
+        seen, kinds3 = np.bincount(of, n, len(contexts)), np.bincount(of, minlength=len(contexts))
+        ends = np.cumsum(listed[contexts // n_words])
         bases = np.concatenate([[0], ends])
-        triples, counts3 = np.unique(bases[of] + at - first[v], return_counts=True)
-        owner = np.searchsorted(ends, triples, "right")
-        kinds3 = np.bincount(owner, minlength=len(contexts))
+        triples = bases[of] + np.searchsorted(pairs, pair) - first[v]
+        order = np.argsort(triples)
+        triples, owner, counts3 = triples[order], of[order], n[order]
         self.pairs, self.contexts, self.triples = EliasFano(pairs), EliasFano(contexts), EliasFano(triples)
         self.first, self.bases = EliasFano(first), EliasFano(bases)
         some = np.maximum(totals, 1)
@@ -79,14 +94,28 @@ class Trie:
         return p
 
 
+@dataclass(frozen=True)
+class Split:
+    """What a shard is told of the words that are split over shards: how many tokens and different
+    words follow each in all shards, and how often each pair asked for occurs in all."""
+
+    words: np.ndarray
+    totals: np.ndarray
+    kinds: np.ndarray
+    pairs: np.ndarray
+    counts: np.ndarray
+
+
 def hashed(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Rows in groups of about :data:`TOGETHER` bytes of text: the rows without their texts, the
-    row of each token, the words before it (u, v) and itself (w) as places in hashes, the hashes."""
+    """Rows in groups of about :data:`TOGETHER` bytes of text, learned ones first: the rows without
+    their texts, the row of each token, the words before it (u, v) and itself (w) as places in
+    hashes, the hashes."""
     for batch in batches:
+        batch = batch.take(pc.sort_indices(batch.column("learned"), sort_keys=[("", "descending")]))
         texts = batch.column("text").cast(pa.binary())
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
         at = 0
@@ -112,11 +141,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 class Common:
-    """Common words by falling frequency, as codes from 0, with their counts; the begin has one too."""
+    """Common words by falling frequency, as codes from 0; the begin has one too. ``tokens`` counts
+    all tokens, ``counts`` those learned from, ``parts`` over how many shards a word before is split."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray) -> None:
-        order = np.lexsort((words, -counts))
+    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: np.ndarray) -> None:
+        order = np.lexsort((words, -tokens))[:MOST_COMMON]
         words, self.counts = np.append(words[order], BEGIN), np.append(counts[order], 0)
+        self.parts = np.append(-(-tokens[order] // SPLIT_TOKENS), 1)
         self.code = np.argsort(words)
         self.words = words[self.code]
 
@@ -128,67 +159,128 @@ class Common:
         at = np.minimum(np.searchsorted(self.words, hashes), len(self) - 1)
         return np.where(self.words[at] == hashes, self.code[at], -1)
 
+    def shard(self, hashes: np.ndarray, code: np.ndarray, u: np.ndarray, v: np.ndarray, shards: int) -> np.ndarray:
+        """The shard of each token: one for the word before, or, for a split word, one of several by the word before that."""
+        home, parts = _spread(hashes, shards), np.where(code >= 0, self.parts[code], 1)
+        shard = home[v]
+        split = np.flatnonzero((parts > 1)[v])
+        shard[split] += _spread(hashes[u[split]], parts[v[split]])
+        shard[split] %= shards
+        return shard
 
-def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
+
+def _spread(hashes: np.ndarray, over: int | np.ndarray) -> np.ndarray:
     spread = hashes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((spread >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+    return ((spread >> np.uint64(33)).astype(np.int64) % over).astype(np.int64)
 
 
-def _packed(tokens: np.ndarray, begins: np.ndarray, code: np.ndarray, hashes: np.ndarray, common: int) -> bytes:
-    """u, v and w in byte planes: codes of common words, then places in a list of the other words."""
-    values = code[tokens]
-    other, at = np.unique(tokens[values < 0], return_inverse=True)
-    values[values < 0] = common + at
-    planes = values.astype(np.uint32).view(np.uint8).reshape(3, -1, 4).transpose(0, 2, 1).tobytes()
-    raw = np.int64(len(other)).tobytes() + hashes[other].tobytes() + planes + begins.astype(np.uint8).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(raw)
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the stretches that begin at the given places."""
+    return np.add.reduceat(values, starts) if len(starts) else values[:0]
+
+
+def _distinct(keys: tuple[np.ndarray, ...], n: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Distinct keys in order, the last one first in rank, and the sums of their numbers."""
+    order = np.lexsort(keys)
+    keys = tuple(k[order] for k in keys)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    starts = np.flatnonzero(new)
+    return tuple(k[starts] for k in keys), _sums(n[order], starts)
+
+
+class Tally:
+    """Counts of keys. What it holds is made distinct whenever it has doubled."""
+
+    def __init__(self, kinds: int) -> None:
+        self.held: list[tuple] = [(*[np.zeros(0, np.int64)] * kinds, np.zeros(0, np.int64))]
+        self.most, self.size = MOST_HELD, 0
 
+    def add(self, *keys_and_n: np.ndarray) -> None:
+        self.held.append(keys_and_n)
+        self.size += len(keys_and_n[0])
+        if self.size > self.most:
+            self.result()
+            self.most = max(MOST_HELD, 2 * self.size)
 
-def _unpacked(held: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(held)
+    def result(self) -> tuple[np.ndarray, ...]:
+        *keys, n = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held = []
+        keys, n = _distinct(tuple(keys), n)
+        self.held, self.size = [(*keys, n)], len(n)
+        return self.held[0]
+
+
+def squeezed(*lists: np.ndarray) -> bytes:
+    """Lists of whole numbers as planes of bytes, as few as the largest needs, compressed."""
+    head, planes = [len(lists)], []
+    for x in lists:
+        x = np.ascontiguousarray(x, np.int64)
+        width = -(-int(np.bitwise_or.reduce(x.view(np.uint64))).bit_length() // 8) if len(x) else 0
+        head += [len(x), width]
+        planes.append(x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.array(head, np.int64).tobytes() + b"".join(planes))
+
+
+def opened(blob: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    body = np.frombuffer(raw, np.uint8, offset=8 + 8 * n).reshape(13, -1)
-    values = np.ascontiguousarray(body[:12].reshape(3, 4, -1).transpose(0, 2, 1)).view(np.uint32).reshape(3, -1)
-    return np.frombuffer(raw, np.int64, n, 8), values, body[12]
+    at, out = 8 + 16 * n, []
+    for size, width in np.frombuffer(raw, np.int64, 2 * n, 8).reshape(-1, 2).tolist():
+        wide = np.zeros((size, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size).T
+        out.append(wide.view(np.int64).ravel())
+        at += size * width
+    return out
+
+
+def _packed(u: np.ndarray, v: np.ndarray, w: np.ndarray, row: np.ndarray, learned: int, code: np.ndarray, hashes: np.ndarray, common: int) -> bytes:
+    """Tokens as codes of common words, then places in a list of the other words, and rows as steps."""
+    tokens = np.concatenate([u, v, w])
+    values = code[tokens]
+    rare = np.flatnonzero(values < 0)
+    other, at = np.unique(hashes[tokens[rare]].view(np.uint64), return_inverse=True)
+    values[rare] = common + at
+    return squeezed(other.view(np.int64), *values.reshape(3, -1), np.diff(row, prepend=0), np.array([learned]))
 
 
 def count_words(rows: DataFrame, least: int) -> tuple[int, int, Common]:
-    """Training tokens, distinct ones, and the words with at least ``least``.
+    """Training tokens, distinct ones, and the words with at least ``least`` tokens in all rows.
 
     A task adds up its own words, one shuffle the rest. The driver gets the common words and
     two numbers from each task.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n = np.empty(0, np.int64), np.empty(0, np.int64)
-        told = lambda: pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], ["word", "n"])
+        words, n, rest = (np.empty(0, np.int64) for _ in range(3))
+        told = lambda: pa.RecordBatch.from_arrays([pa.array(words), pa.array(n), pa.array(rest)], ["word", "n", "rest"])
         for part, row, _, _, w, hashes in _cut(batches):
-            kept = part.column("learned").to_numpy(zero_copy_only=False)[row]
-            own = np.bincount(w, kept, len(hashes)).astype(np.int64)
-            words, at = np.unique(np.concatenate([words, hashes[own > 0]]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([n, own[own > 0]]), len(words)).astype(np.int64)
+            last = np.searchsorted(row, pc.sum(part.column("learned")).as_py() or 0)
+            own = [np.bincount(x, minlength=len(hashes) - 1) for x in (w[:last], w[last:])]
+            words, at = np.unique(np.concatenate([words, hashes[:-1]]), return_inverse=True)
+            n, rest = (np.bincount(at, np.concatenate(x), len(words)).astype(np.int64) for x in ((n, own[0]), (rest, own[1])))
             if len(words) > HELD_WORDS:
                 yield told()
-                words, n = words[:0], n[:0]
+                words, n, rest = words[:0], n[:0], rest[:0]
         yield told()
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = distinct = 0
         for batch in batches:
-            total, distinct = total + (pc.sum(batch.column("n")).as_py() or 0), distinct + batch.num_rows
-            many = batch.filter(pc.greater_equal(batch.column("n"), least))
-            yield pa.RecordBatch.from_arrays([*many.columns, pa.nulls(many.num_rows, pa.int64())], ["word", "n", "distinct"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total]), pa.array([distinct])], ["word", "n", "distinct"])
-
-    sums = rows.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = sums.mapInArrow(chosen, "word long, n long, distinct long").toArrow()
+            n = batch.column("n")
+            total, distinct = total + (pc.sum(n).as_py() or 0), distinct + (pc.sum(pc.greater(n, 0)).as_py() or 0)
+            yield batch.filter(pc.greater_equal(pc.add(n, batch.column("rest")), least))
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total]), pa.array([distinct])], ["word", "n", "rest"])
+
+    kinds = "word long, n long, rest long"
+    sums = rows.mapInArrow(count, kinds).groupBy("word").agg(F.sum("n").alias("n"), F.sum("rest").alias("rest"))
+    found = sums.mapInArrow(chosen, kinds).toArrow()
     is_sum = pc.is_null(found.column("word"))
     numbers, words = found.filter(is_sum), found.filter(pc.invert(is_sum))
-    return (
-        pc.sum(numbers.column("n")).as_py() or 0,
-        pc.sum(numbers.column("distinct")).as_py() or 0,
-        Common(words.column("word").to_numpy().astype(np.int64), words.column("n").to_numpy().astype(np.int64)),
-    )
+    word, n, rest = (words.column(c).to_numpy().astype(np.int64) for c in ("word", "n", "rest"))
+    return pc.sum(numbers.column("n")).as_py() or 0, pc.sum(numbers.column("rest")).as_py() or 0, Common(word, n, n + rest)
 
 
 def score_texts(
@@ -200,15 +292,17 @@ def score_texts(
     share of the training tokens, with half a count added; the model interpolates discounted
     shares after one and two words with it. ``score`` is the text's log10 probability.
 
-    Tokens go to shards by the word before them, packed as codes. A task has all training and
-    all scored tokens of its shard: it builds the shard's trie in mapped files, looks every
-    token up, and gives sums per text, in lists by a hash of the text. Counts of common words,
-    whose number is bounded by a share of the text, are known to all tasks; counts of all others
-    reach a shard by a shuffle of the words it holds. The number of shards grows with the text,
-    and so do all counts.
+    Rows are taken in parts. A part's tokens go to shards by the word before them, packed as
+    codes; a word before many tokens is split over shards by the word before it. A task has all
+    training and all scored tokens of its shard: it builds the shard's trie in mapped files,
+    looks the tokens up and sends sums back to the parts, in the order the part gave them. What
+    a shard cannot count alone, it asks for in one shuffle: how often each of its words occurs
+    in all shards, unless the word is common, and each pair whose first word is split. Common
+    words, whose number is bounded, are known to all tasks.
 
-    Words are told apart by 64-bit hashes, rows by id and a hash of 32 bits of id and text. One
-    word before a large share of all tokens makes one large shard; it is not split.
+    The number of shards grows with the text; a task holds the packed tokens of its shard and
+    its distinct triples of words. Words are told apart by 64-bit hashes. The begin of texts is
+    not split, nor is a pair of words before a large share of all tokens.
 
     * A null text is empty: its one token is the end. A null in ``learn_from`` is false.
     * Rows equal in id and text are scored alike and each returned; each counts in training.
@@ -216,96 +310,192 @@ def score_texts(
     * Columns but the two, and those of ``learn_from``, are not looked at.
     """
     id_type, spark = docs.schema[id_col].dataType.simpleString(), docs.sparkSession
-    text = whole(F.col(text_col))
     rows = docs.select(
-        F.col(id_col).alias("id"), F.hash(F.col(id_col), text).alias("name"),
-        F.coalesce(learn_from, F.lit(False)).alias("learned"), text.alias("text"),
+        F.col(id_col).alias("id"), F.coalesce(learn_from, F.lit(False)).alias("learned"), whole(F.col(text_col)).alias("text")
     )
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = int(1 + size // SHARD_BYTES)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spans = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shares = max(min(shards, spans), shards // 8)
     total, distinct, common = count_words(rows, int(1 + size // COMMON_SHARE))
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, row, _, v, w, hashes in _cut(batches):
-            asked = np.flatnonzero((common.codes(hashes) < 0)[w])
-            kept = part.column("learned").to_numpy(zero_copy_only=False)[row[asked]]
-            n = len(hashes)
-            cells, at = np.unique(_shard(hashes, shards)[v[asked]] * n + w[asked], return_inverse=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cells // n, pa.int32()), pa.array(hashes[cells % n]),
-                 pa.array(np.bincount(at, kept, len(cells)).astype(np.int64))], ["shard", "word", "n"])
+    n_common, split, counts = len(common), np.flatnonzero(common.parts > 1), common.counts
+    log_alone = lambda n: np.log10((n + 0.5) / (total + 0.5 * (distinct + 1)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, row, u, v, w, hashes in _cut(batches):
             code, n = common.codes(hashes), part.num_rows
-            shard = _shard(hashes, shards)[v]
-            order = np.argsort(shard, kind="stable")
-            cell = shard[order] * n + row[order]
-            begins = np.diff(cell, prepend=-1) != 0
-            cells = cell[begins]
+            ids, learned = part.column("id"), part.column("learned")
+            name = xxhash.xxh64(w.tobytes() + hashes.tobytes() + repr(ids.to_pylist()).encode(), seed=TaskContext.get().partitionId())
+            name = np.uint64(name.intdigest()).astype(np.int64)
+            count = counts[code]
+            base = np.bincount(row, np.where(code < 0, 0, log_alone(count))[w], n)
+            known = np.bincount(row, ((code >= 0) & (count > 0))[w], n)
+            shard = common.shard(hashes, code, u, v, shards)
+            order = np.argsort(shard.astype(np.uint16) if shards < 2**16 else shard, kind="stable")
+            u, v, w, rows = u[order], v[order], w[order], row[order]
             present, starts = np.unique(shard[order], return_index=True)
-            tokens = np.stack([u[order], v[order], w[order]])
+            last = pc.sum(learned).as_py() or 0
             bounds = [*starts.tolist(), len(order)]
-            blobs = [_packed(tokens[:, a:b], begins[a:b], code, hashes, len(common)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            offsets = pa.array([*np.searchsorted(cells, present * n).tolist(), len(cells)], pa.int32())
-            taken = part.take(pa.array(cells % n))
-            lists = [pa.ListArray.from_arrays(offsets, c) for c in taken.columns]
+            blobs = [
+                _packed(u[a:b], v[a:b], w[a:b], rows[a:b], int(np.searchsorted(rows[a:b], last)), code, hashes, n_common)
+                for a, b in zip(bounds[:-1], bounds[1:], strict=True)
+            ]
+            home = [ids, learned, np.bincount(row, minlength=n), known.astype(np.int64), base]
+            offsets = pa.array([0, n, *[n] * len(blobs)], pa.int32())
+            only_first = pa.array([False] + [True] * len(blobs))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x) if isinstance(x, np.ndarray) else x, mask=only_first) for x in home]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(present, pa.int32()), *lists, pa.array(blobs, pa.binary())], ["shard", "ids", "names", "learned", "tokens"])
-
-    held = rows.mapInArrow(others, "shard int, word long, n long").repartition("word").groupBy("word", "shard").agg(F.sum("n").alias("n"))
-    known = held.select(F.col("shard").alias("at"), "word", F.sum("n").over(Window.partitionBy("word")).alias("count")).filter("count > 0")
-    packed = rows.mapInArrow(pack, f"shard int, ids array<{id_type}>, names array<int>, learned array<boolean>, tokens binary")
+                [pa.array([int(name) % shards, *present.tolist()], pa.int32()), pa.array([name] * (1 + len(blobs)), pa.int64()),
+                 *lists, pa.array([None, *blobs], pa.binary())], ["shard", "part", *HOME, "blob"])
+
+    home = f"ids array<{id_type}>, learned array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>"
+    dealt = rows.mapInArrow(pack, f"shard int, part long, {home}, blob binary").repartition(max(1, min(shards, spans)), "shard")
+
+    def read(blobs: pa.ChunkedArray) -> Iterator[tuple]:
+        """Tokens u, v, w, their rows, and how many are learned from; with hashes of words from ``n_common``."""
+        for blob in blobs:
+            other, u, v, w, steps, learned = opened(blob.as_py())
+            yield other.view(np.uint64), u, v, w, np.cumsum(steps), int(learned[0])
+
+    def asked(blobs: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
+        """What a shard asks for, in order of share, kind and key, with its own counts: words that are
+        not common (kind -1), and the words after a split word (its code), by code or hash."""
+        tally, is_split = Tally(2), np.zeros(n_common + 1, bool)
+        is_split[split] = True
+        for other, _, v, w, _, learned in read(blobs):
+            hashes = np.append(other, np.uint64(0)).view(np.int64)
+            key = lambda x: np.where(x < n_common, x, hashes[np.maximum(x - n_common, 0)])  # noqa: B023, E731
+            here = (np.arange(len(w)) < learned).astype(np.int64)
+            rare, after = np.flatnonzero(w >= n_common), np.flatnonzero(is_split[np.minimum(v, n_common)])
+            tally.add(key(w[rare]), np.full(len(rare), -1), here[rare])
+            tally.add(key(w[after]), v[after], here[after])
+        key, kind, n = tally.result()
+        share = _spread(key, shares)
+        order = np.argsort(share, kind="stable")
+        return share[order], kind[order], key[order], n[order]
+
+    def tell(tokens: pa.Table) -> pa.Table:
+        blobs = tokens.column("blob").drop_null()
+        share, kind, key, n = asked(blobs)
+        kinds = np.unique(kind)
+        bounds = np.searchsorted(share, np.arange(shares + 1)).tolist()
+        at = [i for i in range(shares) if bounds[i] < bounds[i + 1] or (kinds >= 0).any()]
+        told = []
+        for i in at:
+            own = slice(bounds[i], bounds[i + 1])
+            sizes = np.diff(np.searchsorted(kind[own], kinds), append=bounds[i + 1] - bounds[i])
+            told.append(squeezed(kinds + 1, sizes, key[own], n[own]))
+        shard = tokens.column("shard")[0].as_py()
+        return pa.table({"share": pa.array(at, pa.int32()), "at": pa.array([shard] * len(at), pa.int32()), "told": pa.array(told, pa.binary())})
+
+    def add_up(told: pa.Table) -> pa.Table:
+        parts = [opened(t.as_py()) for t in told.column("told")]
+        sizes = [len(key) for _, _, key, _ in parts]
+        kind = np.concatenate([np.repeat(kinds, n) for kinds, n, _, _ in parts])
+        key, n = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
+        order = np.lexsort((key, kind))
+        new = (np.diff(kind[order], prepend=-1) != 0) | (np.diff(key[order], prepend=0) != 0)
+        new[:1] = True
+        starts = np.flatnonzero(new)
+        sums = _sums(n[order], starts)
+        back = np.empty(len(order), np.int64)
+        back[order] = sums[np.cumsum(new) - 1]
+        seen = kind[order][starts][sums > 0]
+        answers = np.split(back, np.cumsum(sizes)[:-1])
+        counted = [np.searchsorted(seen, p[0], "right") - np.searchsorted(seen, p[0]) for p in parts]
+        blobs = [squeezed(a, c) for a, c in zip(answers, counted, strict=True)]
+        return pa.table({"at": told.column("at"), "share": told.column("share"), "answer": pa.array(blobs, pa.binary())})
+
+    told = dealt.groupBy("shard").applyInArrow(tell, "share int, at int, told binary").repartition(shares, "share")
+    answers = told.groupBy("share").applyInArrow(add_up, "at int, share int, answer binary")
 
     def score(tokens: pa.Table, facts: pa.Table) -> pa.Table:
-        parts = [_unpacked(t) for t in tokens.column("tokens").to_pylist()]
-        other = np.unique(np.concatenate([p[0] for p in parts]))
-        count = np.concatenate([common.counts, np.zeros(len(other), np.int64)])
-        words, n = facts.column("word").to_numpy(), facts.column("count").to_numpy()
-        if len(other):
-            at = np.minimum(np.searchsorted(other, words), len(other) - 1)
-            count[len(common) + at[other[at] == words]] = n[other[at] == words]
-        place = [np.concatenate([np.arange(len(common)), len(common) + np.searchsorted(other, own)]) for own, _, _ in parts]
-        end = int(common.codes(hashed([END]))[0])
-        end = end if end >= 0 else len(common) + int(np.searchsorted(other, hashed([END]))[0])
-        u, v, w = (np.concatenate([p[values[i]] for p, (_, values, _) in zip(place, parts, strict=True)]) for i in range(3))
-        row = np.cumsum(np.concatenate([begins for _, _, begins in parts]), dtype=np.int64) - 1
-        del parts, place
-        is_end, n_known = w == end, count[w] > 0
-        seen = np.zeros(len(count), bool)
-        for x in (u, v, w):
-            seen[x] = True
-        compact = np.cumsum(seen) - 1
-        u, v, w = compact[u], compact[v], compact[w]
-        alone = (count[seen] + 0.5) / (total + 0.5 * (distinct + 1))
-        ids, names, learned = (pc.list_flatten(tokens.column(c)).combine_chunks() for c in ("ids", "names", "learned"))
-        kept = learned.to_numpy(zero_copy_only=False)[row]
-        trie = Trie(u[kept], v[kept], w[kept], len(alone), discount)
-        p = np.concatenate([
-            trie.probability(u[i : i + AT_ONCE], v[i : i + AT_ONCE], w[i : i + AT_ONCE], alone[w[i : i + AT_ONCE]])
-            for i in range(0, len(w), AT_ONCE)
-        ])
-        bucket = names.to_numpy().astype(np.int64) % buckets
-        order = np.argsort(bucket, kind="stable")
-        present, starts = np.unique(bucket[order], return_index=True)
-        offsets = pa.array([*starts.tolist(), len(order)], pa.int32())
-        summed = lambda x: np.bincount(row, x, len(ids))[order]
-        whole_sum = lambda x: pa.array(summed(x).astype(np.int32))
-        out = {
-            "ids": ids.take(pa.array(order)), "names": names.take(pa.array(order)), "learned": learned.take(pa.array(order)),
-            "n_tokens": whole_sum(None), "n_known": whole_sum(n_known), "ends": whole_sum(is_end),
-            "base": pa.array(summed(np.log10(alone)[w])), "score": pa.array(summed(np.log10(p))),
-        }
-        return pa.table({"bucket": pa.array(present, pa.int32()), **{c: pa.ListArray.from_arrays(offsets, x) for c, x in out.items()}})
-
-    numbers = ["n_tokens", "n_known", "ends", "base", "score"]
-    sums = packed.groupBy("shard").cogroup(known.groupBy("at")).applyInArrow(score, (
-        f"bucket int, ids array<{id_type}>, names array<int>, learned array<boolean>, n_tokens array<int>, "
-        "n_known array<int>, ends array<int>, base array<double>, score array<double>"))
-    each = sums.repartition("bucket").select("bucket", F.explode(F.arrays_zip("ids", "names", "learned", *numbers)).alias("r"))
-    of_text = each.groupBy("bucket", "r.ids", "r.names", "r.learned").agg(*[F.sum(F.col("r")[c]).alias(c) for c in numbers])
-    share = lambda c: (F.col(c) / F.col("ends")).cast("long").alias(c)
-    return of_text.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("ends")))).select(
-        F.col("ids").alias(id_col), "learned", share("n_tokens"), share("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("ends")).alias("base_score"), (F.col("score") / F.col("ends")).alias("score"))
+        texts = tokens.filter(pc.is_valid(tokens.column("blob")))
+        homes = tokens.filter(pc.is_null(tokens.column("blob"))).select(["part", *HOME])
+        homes = homes.append_column("tokens", pa.nulls(len(homes), pa.int64())).append_column("sums", pa.nulls(len(homes), pa.binary()))
+        if not len(texts):
+            return homes
+        blobs = texts.column("blob")
+        _, kind, key, _ = asked(blobs)
+        parts = [opened(x) for x in facts.sort_by("share").column("answer").to_pylist()]
+        n = np.concatenate([np.zeros(0, np.int64), *[p[0] for p in parts]])
+        if len(n) != len(key):
+            raise ValueError("a shard's tokens have changed since they were told")
+        other = np.unique(np.concatenate([x[0] for x in read(blobs)]))
+        n_words, rare = n_common + len(other), kind < 0
+        place = lambda hashes: n_common + np.searchsorted(other, hashes.view(np.uint64))
+        count = np.append(counts, np.zeros(len(other), np.int64))
+        count[place(key[rare])] = n[rare]
+        kinds = np.unique(kind)
+        counted = sum((p[1] for p in parts), np.zeros(len(kinds), np.int64))[kinds >= 0]
+        kinds = kinds[kinds >= 0]
+        held = np.flatnonzero(~rare & (n > 0))
+        follower = np.where((key[held] >= 0) & (key[held] < n_common), key[held], place(key[held]))
+        known = Split(kinds, count[kinds], counted, kind[held] * n_words + follower, n[held])
+
+        def placed() -> Iterator[tuple]:
+            for own, u, v, w, row, learned in read(blobs):
+                at = np.searchsorted(other, own)
+                yield *(np.where(x < n_common, x, n_common + np.append(at, 0)[np.maximum(x - n_common, 0)]) for x in (u, v, w)), row, learned
+
+        triples = Tally(2)
+        for u, v, w, _, learned in placed():
+            triples.add(u[:learned], (v * n_words + w)[:learned], np.ones(learned, np.int64))
+        u, pair, n = triples.result()
+        del triples
+        trie = Trie(u, pair, n, n_words, discount, known)
+        del u, pair, n
+        alone, log_p1 = (count + 0.5) / (total + 0.5 * (distinct + 1)), log_alone(count)
+        log_p1[:n_common] = 0
+        told, sizes = [], []
+        for some in _batches(placed()):
+            u, v, w, row = (np.concatenate([x[i] for x in some]) for i in range(4))
+            owner = np.repeat(np.arange(len(some)), [len(x[0]) for x in some])
+            starts = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
+            whole_numbers = lambda x: np.rint(-FINE * _sums(x, starts)).astype(np.int64)
+            sums = [whole_numbers(np.log10(trie.probability(u, v, w, alone[w]))), whole_numbers(log_p1[w]),
+                    _sums(((w >= n_common) & (count[w] > 0)).astype(np.int64), starts)]
+            bounds = np.searchsorted(owner[starts], np.arange(len(some) + 1)).tolist()
+            for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                told.append(squeezed(np.diff(row[starts[a:b]], prepend=0), *[x[a:b] for x in sums]))
+                sizes.append(len(some[i][0]))
+        sums = pa.table({"part": texts.column("part"), **{c: pa.nulls(len(texts), homes.schema.field(c).type) for c in HOME},
+                         "tokens": pa.array(sizes, pa.int64()), "sums": pa.array(told, pa.binary())})
+        return pa.concat_tables([homes, sums])
+
+    def gather(told: pa.Table) -> pa.Table:
+        home = told.filter(pc.is_null(told.column("sums")))
+        if len(home) != 1:
+            raise ValueError("a part's rows have changed since they were told")
+        ids, learned, n_tokens, n_known, base = (home.column(c).combine_chunks().flatten() for c in HOME)
+        known, base, score = n_known.to_numpy().copy(), base.to_numpy().copy(), np.zeros(len(ids), np.int64)
+        rare = np.zeros(len(ids), np.int64)
+        for blob in told.column("sums").drop_null():
+            steps, of_model, of_base, more = opened(blob.as_py())
+            row = np.cumsum(steps)
+            score[row] += of_model
+            rare[row] += of_base
+            known[row] += more
+        if (pc.sum(told.column("tokens")).as_py() or 0) != pc.sum(n_tokens).as_py():
+            raise ValueError("a part's tokens have changed since they were told")
+        return pa.table({"id": ids, "learned": learned, "n_tokens": n_tokens, "n_known": known,
+                         "base_score": base - rare / FINE, "score": score / -FINE})
+
+    sums = dealt.groupBy("shard").cogroup(answers.groupBy("at")).applyInArrow(score, f"part long, {home}, tokens long, sums binary")
+    scored = sums.groupBy("part").applyInArrow(
+        gather, f"id {id_type}, learned boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(
+        F.col("id").alias(id_col), "learned", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _batches(pieces: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Pieces in lists of about :data:`AT_ONCE` tokens."""
+    some, n = [], 0
+    for piece in pieces:
+        some.append(piece)
+        n += len(piece[0])
+        if n >= AT_ONCE:
+            yield some
+            some, n = [], 0
+    if some:
+        yield some
