@@ -204,14 +204,15 @@ class Neighbours:
         shown = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
         joined = "".join(shown)
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        number = self.number[points]
+        number = self.number[points].astype(np.int32)
         begins = np.ones(len(points), bool)
-        begins[1:] = ~self.held[number[:-1], number[1:]]
+        begins[1:] = ~self.held.ravel()[number[:-1] * self.held.shape[1] + number[1:]]
         ends = np.cumsum([len(t) for t in shown])
         begins[ends[ends < len(points)]] = True
         first = np.flatnonzero(begins)
-        width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-        offsets = np.append((np.cumsum(width) - width)[first], width.sum()).astype(np.int32)
+        width = 1 + (points >= 0x80).view(np.uint8) + (points >= 0x800).view(np.uint8) + (points >= 0x10000).view(np.uint8)
+        offsets = np.zeros(len(first) + 1, np.int32)
+        np.cumsum(np.add.reduceat(width, first, dtype=np.int32) if len(first) else first, out=offsets[1:])
         parts = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(joined.encode()))
         return parts, np.diff(np.searchsorted(first, ends), prepend=0)
 
@@ -272,16 +273,31 @@ def codes_of(piece: dict[str, pa.Array]) -> np.ndarray:
     return from_planes(piece["codes"])
 
 
-def vocabulary_of(packed: pa.ChunkedArray, shares: int) -> tuple[pa.Array, np.ndarray]:
+def cells(values: pa.Array) -> list[bytes]:
+    """The bytes of each string; slices of one buffer, as a call to Arrow for each costs ten times that."""
+    if not len(values):
+        return []
+    offsets = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset).tolist()
+    held = values.buffers()[2].to_pybytes()
+    return [held[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def vocabulary_of(pieces: list[dict[str, pa.Array]], shares: int) -> tuple[list[bytes], np.ndarray, list[np.ndarray], list[bytes]]:
     """The distinct parts of texts that go through the lattice, ordered by share (a hash) and part,
-    and the share of each. It does not depend on the order of the packed pieces."""
-    parts = pc.unique(pa.chunked_array([piece["parts"] for piece in unpack(packed)], pa.string()))
-    parts = parts.filter(pc.less_equal(pc.utf8_length(parts), LATTICE_LETTERS))
-    parts = parts.take(pc.sort_indices(parts))
-    hashes = map(zlib.crc32, parts.cast(pa.binary()).to_pylist())
-    share = np.fromiter(hashes, np.int64, len(parts)) % shares
-    order = np.argsort(share, kind="stable")
-    return parts.take(pa.array(order)), share[order]
+    and the share of each; the place there of each piece's parts; the longer parts, whose places
+    come after. The first two do not depend on the order of the pieces."""
+    every = pa.concat_arrays([piece["parts"] for piece in pieces]).dictionary_encode()
+    parts, ends = every.dictionary, np.cumsum([len(piece["parts"]) for piece in pieces])
+    order = pc.sort_indices(parts).to_numpy()
+    words = cells(parts)
+    short = pc.less_equal(pc.utf8_length(parts), LATTICE_LETTERS).to_numpy(zero_copy_only=False)
+    share = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % shares
+    share[~short] = shares
+    order = order[np.argsort(share[order], kind="stable")]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    n, words = int(short.sum()), [words[i] for i in order.tolist()]
+    return words[:n], share[order[:n]], np.split(place[every.indices.to_numpy()], ends[:-1]), words[n:]
 
 
 def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,9 +349,10 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
     shares = 4 * word_parts
 
     def tell(texts: pa.Table) -> pa.Table:
-        words, share = vocabulary_of(texts.column("blob"), shares)
+        words, share, _, _ = vocabulary_of(list(unpack(texts.column("blob"))), shares)
         present, starts = np.unique(share, return_index=True)
-        lists = [words[a:b].to_pylist() for a, b in zip(starts, [*starts[1:], len(words)], strict=bool(len(words)))]
+        bounds = [*starts.tolist(), len(words)]
+        lists = [[w.decode() for w in words[a:b]] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         return pa.table({
             "share": pa.array(present, pa.int32()),
             "block": pa.array([texts.column("block")[0].as_py()] * len(present), pa.int32()),
@@ -357,8 +374,10 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
     scores = {p: s for p, _, s in table.pieces}
 
     def write(texts: pa.Table, vocabulary: pa.Table) -> pa.Table:
-        blobs = texts.column("blob")
-        words, share = vocabulary_of(blobs, shares)
+        pieces = list(unpack(texts.column("blob")))
+        _, share, places, far = vocabulary_of(pieces, shares)
+        if far and not merges:
+            raise ValueError("a word too long for the lattice of a unigram model")
         vocabulary = vocabulary.sort_by("share")
         flat = vocabulary.column("ids").combine_chunks().flatten().to_numpy()
         sizes = vocabulary.column("sizes").combine_chunks().flatten().to_numpy().astype(np.int64)
@@ -367,34 +386,27 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
         if not np.array_equal(vocabulary.column("share").to_numpy(), told) or not np.array_equal(held, counts):
             raise ValueError("a block's words have changed since they were told")
         # letters without a piece become the ids of their bytes
-        letters = {x: [first_byte + b for b in chr(-x - 1).encode()] for x in np.unique(flat[flat < 0]).tolist()}
-        if letters:
+        here = np.flatnonzero(flat < 0)
+        if len(here):
+            letters, which = np.unique(flat[here], return_inverse=True)
+            coded = [[first_byte + b for b in chr(-x - 1).encode()] for x in letters.tolist()]
+            widths = np.array([len(c) for c in coded])
             grown = np.ones(len(flat), np.int64)
-            for x, coded in letters.items():
-                grown[flat == x] = len(coded)
+            grown[here] = widths[which]
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            wide = np.repeat(flat, grown)
-            nth = np.arange(len(wide)) - np.repeat(starts_of(grown), grown)
-            for x, coded in letters.items():
-                here = np.flatnonzero(wide == x)
-                wide[here] = np.array(coded)[nth[here]]
-            sizes, flat = np.bincount(owner, grown, len(sizes)).astype(np.int64), wide
+            flat = np.repeat(flat, grown)
+            flat[flat < 0] = gathered(starts_of(widths), widths, np.concatenate(coded), which)
+            sizes = np.bincount(owner, grown, len(sizes)).astype(np.int64)
+        own = [merged(word.decode(), ids, scores, first_byte) for word in far]
+        sizes = np.concatenate([sizes, np.array([len(x) for x in own], np.int64)])
+        flat = np.concatenate([flat, *[np.array(x, flat.dtype) for x in own]])
         starts = starts_of(sizes)
         out = []
-        for piece in unpack(blobs):
-            at = pc.index_in(piece["parts"], value_set=words)
-            place = pc.fill_null(at, 0).to_numpy().astype(np.int64)
-            far = np.flatnonzero(pc.is_null(at).to_numpy(zero_copy_only=False))
-            if len(far) and not merges:
-                raise ValueError("a word too long for the lattice of a unigram model")
-            own = [merged(piece["parts"][i].as_py(), ids, scores, first_byte) for i in far.tolist()]
-            place[far] = len(sizes) + np.arange(len(far))
-            every = np.concatenate([sizes, np.array([len(x) for x in own], np.int64)])
-            values = np.concatenate([flat, *[np.array(x, flat.dtype) for x in own]])
+        for piece, place in zip(pieces, places, strict=True):
             codes, counts = codes_of(piece), piece["sizes"].to_numpy()
             bounds = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-            coded = gathered(starts if not own else starts_of(every), every, values, place[codes])
-            ends = np.concatenate([[0], np.cumsum(every[place[codes]])])[bounds.to_numpy()]
+            coded = gathered(starts, sizes, flat, place[codes])
+            ends = np.concatenate([[0], np.cumsum(sizes[place[codes]])])[bounds.to_numpy()]
             spelt = pc.binary_join(pa.ListArray.from_arrays(bounds, piece["parts"].take(pa.array(codes))), "")
             spelt = pc.replace_substring(pc.utf8_slice_codeunits(spelt, 1), SPACE, " ")
             out.append(pa.table({
