@@ -11,12 +11,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import let, whole
 
 SPACE = "▁"
 #: Words up to this length go through the lattice, whose state is the bits of a long.
 LATTICE_LETTERS = 62
+#: Letters of a piece's begin that one look-up tells, with all pieces within it.
+STEM = 4
+#: Added to the code point of a letter that is no piece; ids of pieces are smaller.
+NO_PIECE = 1 << 21
 #: Bytes of text whose words form one vocabulary.
 BLOCK_BYTES = 12_000_000
 #: Partitions of distinct words for each block.
@@ -38,6 +43,11 @@ class PieceTable:
     def longest(self) -> int:
         return max(len(p) for p, _, _ in self.pieces)
 
+    @property
+    def costs(self) -> list[float]:
+        """The distinct costs of pieces, smallest first."""
+        return sorted({-score for _, _, score in self.pieces})
+
     @property
     def pairs(self) -> frozenset[str]:
         """Neighbouring letters within a piece. No piece crosses a place between two others."""
@@ -70,73 +80,161 @@ def marked(text: Column) -> Column:
     return F.when(whole(text) == "", F.lit("")).otherwise(F.concat(F.lit(SPACE), F.translate(whole(text), " ", SPACE)))
 
 
+@dataclass(frozen=True)
+class Edge:
+    """A piece at a place of a word, packed into a long that sorts by cost, start and size.
+
+    From the lowest bit: 22 bits of the id (a letter that is no piece has its code point, plus
+    2 to the 21), 6 bits of the size, 6 bits of the start, then the rank of the cost.
+    """
+
+    packed: Column
+
+    @staticmethod
+    def pack(rank: int, size: int, code: int) -> int:
+        return rank << 34 | size << 22 | code
+
+    def bits(self, low: int, many: int) -> Column:
+        return F.shiftright(self.packed, low).bitwiseAND(F.lit((1 << many) - 1)).cast("int")
+
+    @property
+    def rank(self) -> Column:
+        return F.shiftright(self.packed, 34).cast("int")
+
+    @property
+    def start(self) -> Column:
+        return self.bits(28, 6)
+
+    @property
+    def size(self) -> Column:
+        return self.bits(22, 6)
+
+    @property
+    def span(self) -> Column:
+        """Start and size: 64 times the start, plus the size."""
+        return self.bits(22, 12)
+
+    @property
+    def id(self) -> Column:
+        """The id; that of a letter without a piece is its code point, negative and less one."""
+        code = self.bits(0, 22)
+        return F.when(code < NO_PIECE, code).otherwise(F.lit(NO_PIECE - 1) - code)
+
+
+def stems(table: PieceTable) -> Iterator[list[tuple[str, list[int], list[int]]]]:
+    """For each depth to ``STEM``: the begins of pieces of so many letters, the pieces that begin
+    them (packed, with the first letter's), and the sizes of the longer pieces that go on from them
+    (at depth ``STEM`` only)."""
+    rank = {c: i for i, c in enumerate(table.costs)}
+    packed = {p: Edge.pack(rank[-score], len(p), i) for p, i, score in table.pieces}
+    sizes: dict[str, set[int]] = {}
+    for p in packed:
+        for k in range(1, min(STEM, len(p)) + 1):
+            sizes.setdefault(p[:k], set()).add(len(p))
+    for depth in range(1, STEM + 1):
+        yield [
+            (stem, [packed.get(stem[0], Edge.pack(len(rank), 1, NO_PIECE + ord(stem[0])))]
+             + [packed[stem[:k]] for k in range(2, depth + 1) if stem[:k] in packed],
+             [0, *sorted(x for x in held if x > STEM)] if depth == STEM else [])
+            for stem, held in sizes.items() if len(stem) == depth
+        ]
+
+
 def lattice(words: DataFrame, table: PieceTable, keys: list[str], carried: str) -> DataFrame:
     """Edges of each word: all its substrings that are pieces, as ``keys, carried, n, edges``.
 
-    Substrings of at most the longest piece's length are exploded and joined to the table. A
-    single letter that is no piece is an edge too, whose id is its code point, negative and
-    less one. Edges are structs in order of ``cost, start, size``, with the bits of the places
-    they join (``ends``) and of those between (``inner``). Rows of a word are told by a number
+    Each place of a word is joined to the longest begin of a piece found there, of at most ``STEM``
+    letters, which tells all pieces up to that size at once. Only substrings as long as some longer
+    piece with that begin are exploded and joined to the table. A single letter that is no piece is
+    an edge too. Edges are packed longs (:class:`Edge`), sorted. Rows of a word are told by a number
     that falls in the order they come in, so that grouping finds them sorted; if ``words`` are
     partitioned by ``keys``, nothing is shuffled. ``carried`` goes with a word's first letter.
     """
     spark = words.sparkSession
-    pieces = F.broadcast(spark.createDataFrame(list(table.pieces), "piece string, id int, score double"))
-    at_first = lambda c: F.when((F.col("start") == 0) & (F.col("size") == 1), F.col(c)).alias(c)
-    longest = F.least(F.lit(table.longest), F.length("word") - F.col("start"))
-    parts = (
-        words.withColumn("_nth", F.monotonically_increasing_id())
-        .select("_nth", *keys, carried, "word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
-        .select("_nth", *keys, carried, "word", "start", F.explode(F.sequence(F.lit(1), longest)).alias("size"))
-        .select(
-            "_nth", *keys, at_first(carried), F.when((F.col("start") == 0) & (F.col("size") == 1), F.length("word")).alias("n"),
-            "start", "size", F.expr("substring(word, start + 1, size)").alias("part"))
-        .join(pieces, F.col("part") == F.col("piece"), "left")
-        .filter("id IS NOT NULL OR size = 1")
-    )
-    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at)
-    end = F.col("start") + F.col("size")
-    edge = F.struct(
-        F.coalesce(-F.col("score"), F.lit(float("inf"))).alias("cost"), "start", "size",
-        bit(F.col("start")).bitwiseOR(bit(end)).alias("ends"), (bit(end) - bit(F.col("start") + 1)).alias("inner"),
-        F.coalesce("id", -F.ascii("part") - 1).alias("id"),
+    rank = {c: i for i, c in enumerate(table.costs)}
+    rest = F.length("word") - F.col("start")
+    part = lambda size: F.substring("word", F.col("start") + 1, size)
+    places = words.withColumn("_nth", F.monotonically_increasing_id()).select(
+        "_nth", *keys, carried, "word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
+    begins, missed = [], F.lit(True)
+    for depth, rows in reversed(list(enumerate(stems(table), 1))):
+        begin, known, more = f"_begin{depth}", f"_known{depth}", f"_more{depth}"
+        schema = T.StructType([
+            T.StructField(begin, T.StringType(), False), T.StructField(known, T.ArrayType(T.LongType(), False), False),
+            T.StructField(more, T.ArrayType(T.IntegerType(), False), False)])
+        found = F.broadcast(spark.createDataFrame(rows, schema))
+        places = places.withColumn("_key", F.when(missed & (rest >= depth), part(F.lit(depth)))).join(found, F.col("_key") == F.col(begin), "left")
+        begins.append(F.col(known))
+        missed &= F.col(begin).isNull()
+    letter = F.lit(Edge.pack(len(rank), 1, NO_PIECE)) + F.ascii(part(F.lit(1)))
+    sizes = F.coalesce(f"_more{STEM}", F.array(F.lit(0)))
+    schema = T.StructType([T.StructField("piece", T.StringType(), False), T.StructField("packed", T.LongType(), False)])
+    far = [(p, Edge.pack(rank[-score], len(p), i)) for p, i, score in table.pieces if STEM < len(p) <= LATTICE_LETTERS]
+    edges = (
+        places.select("_nth", *keys, carried, "word", "start", F.coalesce(*begins, F.array(letter)).alias("known"), F.explode(sizes).alias("size"))
+        .join(F.broadcast(spark.createDataFrame(far, schema)), F.when(F.col("size").between(1, rest), part(F.col("size"))) == F.col("piece"), "left")
+        .filter("size = 0 OR packed IS NOT NULL")
     )
-    return parts.groupBy("_nth", *keys).agg(
-        F.sort_array(F.collect_list(edge)).alias("edges"), F.first(carried, ignorenulls=True).alias(carried),
-        F.first("n", ignorenulls=True).alias("n"))
-
-
-def merge_edges(edges: Column, n: Column) -> Column:
+    first = lambda c: F.when((F.col("start") == 0) & (F.col("size") == 0), c)
+    here = F.when(F.col("size") == 0, F.col("known")).otherwise(F.array(F.coalesce("packed", F.lit(0).cast("long"))))
+    moved = lambda c: F.transform(c["known"], lambda e: e + F.shiftleft(c["start"].cast("long"), 28))
+    return (
+        edges.select(
+            "_nth", *keys, first(F.col(carried)).alias(carried), first(F.length("word")).alias("n"),
+            F.struct("start", here.alias("known")).alias("here"))
+        .groupBy("_nth", *keys)
+        .agg(F.sort_array(F.flatten(F.transform(F.collect_list("here"), moved))).alias("edges"), F.first(carried, ignorenulls=True).alias(carried),
+             F.first("n", ignorenulls=True).alias("n"))
+    )
+
+
+def masks() -> tuple[Column, Column]:
+    """For each span the bits of the two places it joins, and of those between; 0 if it is too long."""
+    spans = [(s, s + size) for s in range(64) for size in range(64)]
+    ends = [1 << a | 1 << b if a < b <= LATTICE_LETTERS else 0 for a, b in spans]
+    inner = [(1 << b) - (2 << a) if a < b <= LATTICE_LETTERS else 0 for a, b in spans]
+    return tuple(F.split(F.lit(",".join(map(str, m))), ",").cast("array<long>") for m in (ends, inner))
+
+
+def merge_edges(edges: Column, n: Column, table: PieceTable) -> Column:
     """The ids of a word by merging, for BPE models: a fold over its edges, best score first.
 
     The state has a bit for each place where a symbol starts. An edge whose two ends are such
     places with just one more between them is a merge of two neighbours; it clears that bit.
     """
-    def merge(alive: Column, e: Column) -> Column:
-        between = alive.bitwiseAND(e["inner"])
-        joins = (F.bit_count(between) == 1) & (alive.bitwiseAND(e["ends"]) == e["ends"])
-        return F.when(joins, alive - between).otherwise(alive)
+    ends, inner = masks()
+    bits = lambda held, by: F.call_function("shiftright", held, by)
+
+    def merge(alive: Column, span: Column) -> Column:
+        joins = (F.bit_count(alive.bitwiseAND(inner[span])) == 1) & (alive.bitwiseAND(ends[span]) == ends[span])
+        return F.when(joins, alive.bitwiseAND(F.bitwise_not(inner[span]))).otherwise(alive)
+
+    def spans(alive: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), n), lambda s: bits(alive, s).bitwiseAND(F.lit(1)) == 1)
+        return let(starts, lambda at: F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda s, end: s * 63 + end))
 
-    def chosen(alive: Column) -> Column:
-        left = F.filter(edges, lambda e: (alive.bitwiseAND(e["inner"]) == 0) & (alive.bitwiseAND(e["ends"]) == e["ends"]))
-        return F.transform(F.sort_array(F.transform(left, lambda e: F.struct(e["start"], e["id"]))), lambda e: e["id"])
+    def chosen(taken: Column) -> Column:
+        left = F.filter(edges, lambda e: F.array_contains(taken, Edge(e).span))
+        ranked = F.sort_array(F.transform(left, lambda e: e.bitwiseAND(F.lit((1 << 34) - 1))))
+        return F.transform(ranked, lambda e: Edge(e).id)
 
-    start = F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1
-    longer = F.filter(edges, lambda e: e["size"] > 1)
-    return let(F.aggregate(longer, start, merge), chosen)
+    every = F.call_function("shiftright", F.lit((1 << 63) - 1), F.lit(62) - n)
+    alive = F.aggregate(F.transform(edges, lambda e: Edge(e).span), every, merge)
+    return let(let(alive, spans), chosen)
 
 
-def best_path(edges: Column, n: Column) -> Column:
+def best_path(edges: Column, n: Column, table: PieceTable) -> Column:
     """The ids of a word by Viterbi, for unigram models: a fold over its edges by their end.
 
     The state has for each place the best score of a path to it, and the path's ids. A letter
-    without a piece costs 10 more than the worst piece would.
+    without a piece costs 1e6, more than any piece.
     """
     cell = lambda score, ids: F.struct(score.cast("double").alias("score"), ids.alias("ids"))
     nothing = F.lit(None).cast("array<int>")
+    costs = F.split(F.lit(",".join(map(repr, [*table.costs, 1e6]))), ",").cast("array<double>")
     ordered = F.array_sort(F.transform(edges, lambda e: F.struct(
-        (e["start"] + e["size"]).alias("end"), e["start"].alias("start"),
-        F.when(e["cost"] == float("inf"), F.lit(1e6)).otherwise(e["cost"]).alias("cost"), F.array(e["id"]).alias("ids"))))
+        (Edge(e).start + Edge(e).size).alias("end"), Edge(e).start.alias("start"),
+        F.element_at(costs, Edge(e).rank + 1).alias("cost"), F.array(Edge(e).id).alias("ids"))))
     first = F.transform(F.sequence(F.lit(0), n), lambda i: F.when(i == 0, cell(F.lit(0.0), F.array().cast("array<int>"))).otherwise(
         cell(F.lit(float("-inf")), nothing)))
 
@@ -362,7 +460,7 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
     words = told.select("share", "block", F.posexplode(F.from_json("words", "array<string>")).alias("place", "word"))
     homes = words.groupBy("word", "share").agg(F.collect_list(F.struct("block", "place")).alias("homes"))
     fold = merge_edges if merges else best_path
-    folded = lattice(homes, table, ["share"], "homes").select("share", "homes", fold(F.col("edges"), F.col("n")).alias("ids"))
+    folded = lattice(homes, table, ["share"], "homes").select("share", "homes", fold(F.col("edges"), F.col("n"), table).alias("ids"))
     back = folded.select("share", F.explode("homes").alias("home"), "ids").select("share", "home.block", "home.place", "ids")
     placed = back.groupBy("block", "share").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("placed"))
     known = placed.select(
@@ -429,7 +527,7 @@ def decode(ids: Column, table: PieceTable) -> Column:
     Byte pieces join to characters; bytes that are none become U+FFFD. Control pieces vanish.
     The space that encoding puts in front is taken off.
     """
-    shown = F.split(F.lit(",".join(x.hex() for x in table.shown)), ",")
-    text = F.array_join(F.transform(ids, lambda i: F.element_at(shown, i + 1)), "")
+    shown = F.split(F.lit(",".join(x.replace(SPACE.encode(), b" ").hex() for x in table.shown)), ",")
+    text = F.array_join(F.transform(ids, lambda i: shown[i]), "")
     plain = F.replace(F.make_valid_utf8(F.unhex(text).cast("string")), F.lit(SPACE), F.lit(" "))
     return let(plain, lambda p: F.when(F.startswith(p, F.lit(" ")), F.substring(p, F.lit(2), F.length(p))).otherwise(p))
